@@ -56,7 +56,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("rep_norm")
     )
     differ = own.join(reps.dropDuplicates(["h", "salt"]), ["h", "salt"]).where("norm <> rep_norm")
-    differ = cut(differ.select("doc_id", "h", F.col("norm").alias("alt")).distinct())
+    differ = cut(differ.select("doc_id", "h", F.concat(F.lit("="), "norm").alias("alt")).distinct())
     if differ.isEmpty():
         groups = per_hash.select("h", "c", "rep")
         out = rows.join(groups, "h")

@@ -6,7 +6,10 @@ from importlib import import_module
 
 #: Query name -> module.  A module's ``SQL``, where it has one, is the same query for DuckDB.
 MODULES = {
+    "op1_simhash": "simhash",
+    "op3_bpe": "bpe",
     "op6_exact_dedup": "exact_dedup",
+    "op8_toxicity": "toxicity",
 }
 
 
