@@ -55,19 +55,17 @@ def features(text: str | None) -> set[str]:
 # ---------------------------------------------------------------- one linear model
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, l2: float = 2.0, steps: int = 120) -> np.ndarray:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, l2: float = 0.5, rounds: int = 12) -> np.ndarray:
     """Weights of a logistic regression: ``width`` binary features, ``extra`` dense columns, a constant.
 
-    ``rows`` and ``cols`` are the places of the ones.  Accelerated gradient descent with a step taken
-    from a bound of the curvature.
+    ``rows`` and ``cols`` are the places of the ones.  Newton steps, each solved by conjugate gradients
+    and halved while it does not lower the loss.
     """
     n, k = len(y), extra.shape[1]
     w = np.zeros(width + k + 1)
     if not n:
         return w
-    per_row = np.bincount(rows, minlength=n) if len(rows) else np.zeros(n)
-    # largest eigenvalue of X'X by a few power steps
-    v = np.ones(width + k + 1)
+    ridge = np.append(np.full(width + k, l2), 1e-6)
 
     def forward(u):
         return np.bincount(rows, weights=u[cols], minlength=n) + extra @ u[width : width + k] + u[-1]
@@ -75,19 +73,35 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.nd
     def backward(r):
         return np.concatenate([np.bincount(cols, weights=r[rows], minlength=width), extra.T @ r, [r.sum()]])
 
-    for _ in range(15):
-        v = backward(forward(v))
-        norm = np.linalg.norm(v) or 1.0
-        v /= norm
-    step = 1.0 / (0.25 * norm * 1.1 + l2)
-    ahead, was = w.copy(), w
-    for t in range(steps * (1 + (per_row.max(initial=0) > 0))):
-        p = 1 / (1 + np.exp(-np.clip(forward(ahead), -30, 30)))
-        g = backward(p - y) + l2 * np.concatenate([ahead[:-1], [0.0]])
-        new = ahead - step * g
-        ahead = new + (t / (t + 3)) * (new - was)
-        was = new
-    return was
+    def loss(u, z):
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * (ridge * u * u).sum()
+
+    z = forward(w)
+    now = loss(w, z)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        g, curve = backward(p - y) + ridge * w, p * (1 - p) + 1e-9
+        step, left = np.zeros_like(w), -g
+        way, size = left.copy(), left @ left
+        first = size
+        for _ in range(30):
+            if size <= 1e-4 * first:
+                break
+            bent = backward(curve * forward(way)) + ridge * way
+            far = size / (way @ bent)
+            step += far * way
+            left -= far * bent
+            size, was = left @ left, size
+            way = left + (size / was) * way
+        t = 1.0
+        while t > 1e-4 and loss(w + t * step, forward(w + t * step)) > now:
+            t /= 2
+        w = w + t * step
+        z = forward(w)
+        was, now = now, loss(w, z)
+        if was - now < 1e-4 * abs(was):
+            break
+    return w
 
 
 def predict(w: np.ndarray, rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, n: int) -> np.ndarray:
