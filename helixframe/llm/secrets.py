@@ -46,6 +46,14 @@ def _spans(text: Column, pattern: str, group: int = 0) -> Column:
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
 
 
+def _at_least(spans: Column, least: int) -> Column:
+    return F.filter(spans, lambda x: F.length(x["v"]) >= least)
+
+
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("k")))
+
+
 def _if(test: Column, value: Column) -> Column:
     return F.when(test, value).otherwise(F.expr(_NONE))
 
@@ -74,7 +82,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     low = src.withColumn("hints", F.col("text").rlike(r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))
     base = {}
     for name, pattern, group, least in BASE:
-        base[name] = _if(F.col("hints"), F.filter(_spans(F.col("text"), pattern, group), lambda x, n=least: F.length(x["v"]) >= n))
+        base[name] = _if(F.col("hints"), _at_least(_spans(F.col("text"), pattern, group), least))
     found = low.select("doc_id", "text", *(v.alias(k) for k, v in base.items()))
     hint = F.col("text").rlike(r"://|(?i:host|endpoint|server|region)")
     found = found.withColumn("endpoint", _if(hint, _spans(F.col("text"), ENDPOINT)))
@@ -88,7 +96,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     with_k = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.lit(kinds[c]).alias("k"), x["e"].alias("e")))
 
     def part(*names: tuple[str, int]) -> DataFrame:
-        tagged = F.concat(*(F.transform(c, lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))) for c, k in names))
+        tagged = F.concat(*(_of_kind(F.col(c), k) for c, k in names))
         return rows.where(linked).select("row", F.explode(tagged).alias("x")).select("row", "x.*").withColumn("cell", F.floor(F.col("s") / scope))
 
     def around(df: DataFrame, tag: str) -> DataFrame:
