@@ -1,17 +1,21 @@
-"""Registered queries of the sequence operators."""
+"""Registered queries of the sequence operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import alignment, dataflow, index, strings
+
+ALL = strings.QUERIES | index.QUERIES | alignment.QUERIES | dataflow.QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["qgram_best_diagonal"](spark, sf_dir)
+    return strings.qgram_best_diagonal(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
