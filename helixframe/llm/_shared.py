@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["cut", "connected", "read_table", "shuffle_width"]
-
+from ..operators.storage import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files.
-
-    The folder is the session's ``spark.checkpoint.dir``.  A folder of this process is set only
-    where the session names none, as in tests on one machine.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "connected", "read_table", "shuffle_width"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

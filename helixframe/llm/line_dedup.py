@@ -80,12 +80,12 @@ def _sql() -> str:
     return f"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host,
-    list_filter(list_transform(string_split(translate({text}, chr(13) || chr(9), chr(10) || ' '), chr(10)), x -> trim(x, ' ')), x -> x <> '') AS lines
+    list_filter(list_transform(string_split(translate({text}, chr(13) || chr(9), chr(10) || ' '), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
   FROM pages),
 t AS (SELECT host, count(*) AS total FROM p WHERE host <> '' GROUP BY host),
 l AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host <> '') GROUP BY ALL),
 c AS (SELECT host, list(line) AS lost FROM l JOIN t USING (host) WHERE total >= {MIN_PAGES} AND n > 1 AND n > {RATIO} * total GROUP BY host),
-k AS (SELECT page_id, host, lines, CASE WHEN lost IS NULL THEN lines ELSE list_filter(lines, x -> NOT list_contains(lost, x)) END AS kept FROM p LEFT JOIN c USING (host))
+k AS (SELECT page_id, host, lines, CASE WHEN lost IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(lost, x)) END AS kept FROM p LEFT JOIN c USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
 """
