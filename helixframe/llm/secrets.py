@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,3 +134,39 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"),
     )
+
+
+def _both_cases(pattern: str) -> str:
+    """``(?i:...)`` spelled out, as other engines fold letters beyond A-Z too."""
+    spell = lambda m: "(?:" + re.sub("[A-Za-z]", lambda c: f"[{c[0].lower()}{c[0].upper()}]", m[1]) + ")"
+    return re.sub(r"\(\?i:((?:[^()]|\([^()]*\))*)\)", spell, pattern)
+
+
+def _sql() -> str:
+    """The same for DuckDB, with plain interval joins in place of cells."""
+
+    def place(pattern: str, group: int = 0) -> str:
+        p = _both_cases(pattern).replace("'", "''")
+        return f"""(SELECT list({{'s': s, 'e': s + len(w), 'v': v}} ORDER BY k) FROM (SELECT k, w, v, list_sum(list_transform(g[1:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: len(x))), 0) AS s
+  FROM (SELECT regexp_split_to_array(text, '{p}') AS g, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS y) q, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS k) i, LATERAL (SELECT m[k] AS w, y[k] AS v) z))"""
+
+    bases = ", ".join(f"list_filter({place(p, g)}, lambda x: len(x.v) >= {n}) AS {name}" for name, p, g, n in BASE)
+    case = lambda k: "CASE k " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(KINDS)) + " END" if k else ""
+    near = lambda a, b: f"{a}.row = {b}.row AND abs({a}.s - {b}.s) <= {SCOPE} AND ({a}.e <= {b}.s OR {b}.e <= {a}.s)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT row, doc_id, {bases}, {place(ENDPOINT)} AS endpoint, {place(IDENT)} AS ident, {place(OPAQUE)} AS opaque FROM d),
+p AS ({" UNION ALL ".join(f"SELECT row, {k} AS k, unnest({c}) AS x FROM f" for c, k in (("assign", 0), ("access", 1), ("hex", 2), ("ident", 3), ("opaque", 4), ("endpoint", 5)))}),
+a AS (SELECT row, k, x.s AS s, x.e AS e FROM p WHERE k <> 4 OR (regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]'))),
+o AS (SELECT * FROM a WHERE k NOT IN (1, 3, 5) AND (k <> 4 OR NOT EXISTS (SELECT 1 FROM a b WHERE b.row = a.row AND b.k <> 4 AND a.s < b.e AND b.s < a.e))),
+l AS (SELECT o.row, o.k, o.s, o.e, i.k AS ik, i.s AS js, i.e AS je FROM o JOIN a i ON i.k IN (1, 3) AND {near("o", "i")} WHERE EXISTS (SELECT 1 FROM a q WHERE q.k = 5 AND {near("o", "q")})),
+w AS (SELECT row, s, k, e FROM l WHERE k = 4 UNION SELECT row, js, ik, je FROM l WHERE ik = 3),
+b AS (SELECT row, s, k, e FROM a WHERE k < 3),
+t AS (SELECT row, s, k, e, {case(1)} || ':' || s || ':' || e AS x, true AS base FROM b UNION ALL SELECT row, s, k, e, {case(1)} || ':' || s || ':' || e, false FROM w),
+g AS (SELECT row, count(*) FILTER (base AND k = 0) AS a, count(*) FILTER (base AND k = 1) AS c, count(*) FILTER (base AND k = 2) AS h,
+  string_agg(x, ',' ORDER BY s, k, e) FILTER (base) AS bx, string_agg(x, ',' ORDER BY s, k, e) AS sx FROM t GROUP BY row)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(bx, '')) AS base_sha256, coalesce(sx, '') AS spans FROM d LEFT JOIN g USING (row)
+"""
+
+
+SQL = _sql()

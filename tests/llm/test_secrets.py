@@ -71,3 +71,19 @@ def test_digest(spark, tmp_path):
     want = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base(text))
     assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (1, 1, 0, want)
     assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_sql_gives_the_same():
+    import duckdb
+
+    from helixframe.llm.secrets import SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    rows = list(enumerate(texts()))
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = {r[0]: r[1:] for r in con.execute(SQL).fetchall()}
+    for i, t in rows:
+        own = base(t)
+        line = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert got[i] == (*(sum(x[1] == k for x in own) for k in range(3)), hashlib.sha256(line(own).encode()).hexdigest(), line(brute(t))), i
