@@ -11,7 +11,7 @@ from ..operators import hits as H
 from ..operators import qgram as Q
 from ..operators import seeds as E
 from .strings import HITS, SNAP, qgram_diagonal_count
-from .tables import ITEMS, docs, items
+from .tables import DOCS, ITEMS, docs, items
 
 _L = lambda c: F.col(c).cast("long").alias(c)
 GOTOH = A.Scheme(2, -2, -5, -3)
@@ -35,6 +35,25 @@ def _candidates(spark, d, least=2):
     return both.select("doc_id", "item_id", "diag", "n", "pattern", begin.cast("long").alias("begin"), S.infix(F.col("seq"), begin, begin + F.length("pattern") + 48).alias("text")).where("text <> ''")
 
 
+def score_sql(pairs: str, keys: str, scheme: A.Scheme, kind: str) -> str:
+    """Recursive tables for DuckDB that score ``pattern`` with ``text`` for the rows of table ``pairs``: ``dp``
+    goes through the text a symbol at a time with a row of the matrix as a list, ``scored`` has ``keys`` and
+    ``score``.  Semi-global and local; ``j`` counts from 1, the border."""
+    go, ge, local = scheme.gap_open, scheme.gap_ext, kind == "local"
+    first = "0" if local else f"CASE WHEN j = 0 THEN 0 ELSE {go} + {ge} * (j - 1) END"
+    clamp = "0, " if local else ""
+    end = "list_max(nh)" if local else "nh[length(pattern) + 1]"
+    return f"""dp AS (
+  SELECT {keys}, pattern, text, 0 AS i, list_transform(range(0, length(pattern) + 1), lambda j: ({first})::BIGINT) AS h,
+    list_transform(range(0, length(pattern) + 1), lambda j: -1000000::BIGINT) AS f, (CASE WHEN {str(local).lower()} OR length(pattern) = 0 THEN 0 ELSE {go} + {ge} * (length(pattern) - 1) END)::BIGINT AS best FROM {pairs}
+  UNION ALL
+  SELECT {keys}, pattern, text, i + 1, nh, nf, greatest(best, {end}) FROM (
+    SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(tmp[j], list_max(list_transform(range(1, j), lambda k: tmp[k] + {go} + {ge} * (j - k - 1)))) END) AS nh FROM (
+      SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest({clamp}nf[j], h[j - 1] + CASE WHEN substr(pattern, j - 1, 1) = substr(text, i + 1, 1) THEN {scheme.match} ELSE {scheme.mismatch} END) END) AS tmp FROM (
+        SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: greatest(h[j] + {go}, f[j] + {ge})) AS nf FROM dp WHERE i < length(text)) x) y) z),
+scored AS (SELECT {keys}, best AS score FROM dp WHERE i = length(text))"""
+
+
 def edit_distance_global(spark, d):
     return _pairs(spark, d).select("item_id", A.align_score("pattern", "text", A.EDIT, "global").cast("long").alias("score"))
 
@@ -200,13 +219,22 @@ def gap_room(spark, d):
 _GAP = lambda o: f"CASE WHEN n * 2 < m THEN 0 WHEN n * 2 + {o} < m THEN 0 ELSE greatest(least(n, floor((n * 2 + {o} - m) / 3.0) + 1) - 1, 0) END::BIGINT"
 QUERIES = {
     "edit_distance_global": (edit_distance_global, f"WITH {PAIRS} SELECT item_id, -levenshtein(pattern, text) AS score FROM pairs"),
-    "edit_distance_semiglobal": (edit_distance_semiglobal, None),
+    "edit_distance_semiglobal": (edit_distance_semiglobal, f"WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', A.EDIT, 'semi_global')} SELECT item_id, score FROM scored"),
     "edit_distance_banded": (edit_distance_banded, None),
-    "sw_local": (sw_local, None),
-    "gotoh_semiglobal": (gotoh_semiglobal, None),
+    "sw_local": (sw_local, f"WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', A.Scheme(2, -1, -1, -1), 'local')} SELECT item_id, score FROM scored"),
+    "gotoh_semiglobal": (gotoh_semiglobal, f"WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', GOTOH, 'semi_global')} SELECT item_id, score FROM scored"),
     "cigar": (cigar, None),
-    "qmap": (qmap, None),
-    "fmmap": (fmmap, None),
+    "qmap": (qmap, f"""{HITS.replace("WITH", "WITH RECURSIVE", 1)}, c AS (SELECT doc_id, item_id, {SNAP} AS diag FROM hits GROUP BY ALL HAVING count(*) >= 2),
+cases AS (SELECT doc_id, c.item_id, diag, ref.seq AS pattern, substr(dna.seq, greatest(diag - 16, 0) + 1, length(ref.seq) + 48) AS text FROM c JOIN ref ON c.item_id = ref.item_id JOIN dna USING (doc_id)),
+whole AS (SELECT * FROM cases WHERE text <> ''), {score_sql("whole", "doc_id, item_id, diag", A.EDIT, "semi_global")}
+SELECT doc_id, item_id, diag, score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id, diag) = 1"""),
+    "fmmap": (fmmap, f"""WITH RECURSIVE {DOCS}, {ITEMS}, r AS (SELECT item_id, 0 AS strand, seq AS pattern FROM ref UNION ALL SELECT item_id, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM ref),
+s AS (SELECT item_id, strand, q, substr(pattern, q + 1, 16) AS g FROM (SELECT item_id, strand, pattern, unnest(range(0, length(pattern) - 16 + 1, 8)) AS q FROM r WHERE length(pattern) >= 16)),
+p AS (SELECT doc_id, b, substr(seq, b + 1, 16) AS g FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 16 + 1)) AS b FROM dna WHERE length(seq) >= 16)),
+d AS (SELECT DISTINCT item_id, strand, doc_id, cast(ceil((b - q) / 16.0 - 0.5) * 16 AS BIGINT) AS diag FROM s JOIN p USING (g)),
+cases AS (SELECT DISTINCT item_id, pattern, substr(seq, greatest(diag - 16, 0) + 1, length(pattern) + 48) AS text FROM d JOIN r USING (item_id, strand) JOIN dna USING (doc_id)),
+whole AS (SELECT * FROM cases WHERE text <> ''), {score_sql("whole", "item_id", A.EDIT, "semi_global")},
+best AS (SELECT item_id, max(score) AS score FROM scored GROUP BY item_id) SELECT score, count(*) AS items FROM best GROUP BY score"""),
     "best2": (best2, f"{BEST2} SELECT doc_id, best_score, best_pos, best_strand, second_score, second_pos, second_strand FROM b2"),
     "mapq": (mapq, f"{BEST2} SELECT doc_id, ({H.mapq_sql('best_score', 'second_score', '1', '6')})::BIGINT AS mapq, ({H.mapq_sql('best_score', 'second_score', '1', '6', True)})::BIGINT AS mapq_local FROM b2"),
     "topk_hits": (topk_hits, f"{SCORED}, k AS (SELECT doc_id, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, diag) <= 3) SELECT doc_id, count(*) AS hits, min(n) AS rarest FROM k GROUP BY doc_id"),
