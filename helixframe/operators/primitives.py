@@ -128,6 +128,12 @@ def weighted_sample(df: DataFrame, weight: Column, key: Column, k: int, seed: in
     return df.where(weight > 0).withColumn("draw", -F.log(uniform(key, seed)) / weight).orderBy("draw", key).limit(k)
 
 
+def checksum(df: DataFrame, *columns: str) -> DataFrame:
+    """One row, ``rows`` and ``sum``: a sum of the rows' hashes that does not depend on their order."""
+    line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")).alias("sum"))
+
+
 # ---------------------------------------------------------------- Bloom filter
 
 #: A filter's size is a power of two in these bounds.

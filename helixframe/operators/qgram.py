@@ -76,3 +76,9 @@ def best_diagonal(counts: DataFrame, key: list[str], other: list[str]) -> DataFr
     """Per key the diagonal with most hits; ties go to the smallest of the other columns and diagonal."""
     first = F.min_by(F.struct(*other, "diag", "n"), F.struct(-F.col("n"), *other, F.col("diag")))
     return counts.groupBy(*key).agg(first.alias("b")).select(*key, "b.*")
+
+
+def page(found: DataFrame, order: list[str], begin: int, end: int) -> DataFrame:
+    """Hits [begin, end) in the order of ``order`` (a total order), with their number ``hit``."""
+    numbered = scan(found, order, F.lit(1), "hit").withColumn("hit", F.col("hit") - 1)
+    return numbered.where((F.col("hit") >= begin) & (F.col("hit") < end))

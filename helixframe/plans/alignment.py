@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import align as A
+from ..operators import aligner as G
 from ..operators import diff as D
 from ..operators import hits as H
 from ..operators import qgram as Q
@@ -210,6 +211,20 @@ def diff_filter(spark, d):
     return D.discordant_reads(_sides(spark, d), "doc_id", ("distant", "discordant"), ("score",), 1)
 
 
+def best2_ends(spark, d):
+    """Best two ends of each pair's semi-global alignment, more than 8 symbols apart."""
+    ends = _pairs(spark, d).select("item_id", A.end_scores("pattern", "text", A.EDIT).alias("ends"))
+    return ends.select("item_id", A.best_two_ends(F.col("ends"), 8).alias("x")).select("item_id", *(F.col(f"x.{c}").cast("long").alias(c) for c in ("score", "end", "second_score", "second_end")))
+
+
+def aligner(spark, d):
+    """Items as reads, aligned to the documents."""
+    reads = items(spark, d).select(F.col("item_id").alias("read_id"), "seq")
+    refs = docs(spark, d).select(F.col("doc_id").alias("ref_id"), "seq")
+    out = G.align_reads(reads, refs, G.Options(seed=12, interval=4, max_hits=10_000))
+    return out.select("read_id", *(_L(c) for c in ("flag", "ref_id", "pos", "score", "second_score", "mapq", "ed")), "cigar", "md")
+
+
 def gap_room(spark, d):
     n = F.length("seq").cast("long")
     least = F.floor(n * 0.6)
@@ -249,5 +264,10 @@ h AS (SELECT doc_id, ((doc_id * 7919) % (SELECT sum(length(seq))::BIGINT FROM re
     "diff_hist2d": (diff_hist2d, f"{SIDES} SELECT least(greatest(l_mapq // 10, 0), 4)::BIGINT AS l_bin, least(greatest(r_mapq // 10, 0), 4)::BIGINT AS r_bin, count(*) AS n FROM z GROUP BY ALL"),
     "diff_summary": (diff_summary, f"{SIDES}, s3 AS (SELECT CASE WHEN l_score > r_score THEN 'l' WHEN l_score < r_score THEN 'r' ELSE 'equal' END AS side, {_BIN('abs(l_score - r_score)')} AS bin FROM z) SELECT side, bin, count(*) AS n FROM s3 GROUP BY ROLLUP (side, bin)"),
     "diff_filter": (diff_filter, f"{SIDES} SELECT doc_id FROM z WHERE (abs(l_pos - r_pos) > 100 OR (l_flag & 16) <> (r_flag & 16)) AND l_score - r_score >= 1"),
+    "best2_ends": (best2_ends, f"""WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', A.EDIT, 'semi_global')}, en AS (SELECT item_id, i AS e, h[length(pattern) + 1] AS score FROM dp),
+b AS (SELECT item_id, score, e AS "end" FROM en QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, e DESC) = 1),
+o AS (SELECT en.item_id, en.score AS second_score, e AS second_end FROM en JOIN b USING (item_id) WHERE abs(e - "end") > 8 QUALIFY row_number() OVER (PARTITION BY en.item_id ORDER BY en.score DESC, e DESC) = 1)
+SELECT item_id, score, "end", second_score, second_end FROM b LEFT JOIN o USING (item_id)"""),
+    "aligner": (aligner, None),
     "gap_room": (gap_room, f"WITH x AS (SELECT doc_id, length(upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g'))) AS n FROM documents), y AS (SELECT doc_id, n, floor(n * 0.6::DOUBLE) AS m FROM x) SELECT doc_id, {_GAP(-5)} AS affine, {_GAP(0)} AS linear FROM y"),
 }

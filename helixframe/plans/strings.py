@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators import primitives as P
 from ..operators import qgram as Q
 from ..operators import seeds as E
 from .tables import DOCS, ITEMS, docs, items, table
@@ -133,6 +134,16 @@ def qgram_rare_hits(spark, d):
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def qgram_page(spark, d):
+    """Hits 500 to 999 in order."""
+    found = Q.page(_hits(spark, d).select("doc_id", "doc_pos", "item_id", "item_pos"), ["doc_id", "doc_pos", "item_id", "item_pos"], 500, 1000)
+    return found.withColumn("hit", F.col("hit").cast("long"))
+
+
+def checksum(spark, d):
+    return P.checksum(docs(spark, d), "doc_id", "seq")
+
+
 _C = "list_sum(list_transform(range(0, 12), lambda j: (instr('ACGT', substr(qgram, j + 1, 1)) - 1) * (1::BIGINT << (2 * j)::INTEGER)))"
 QUERIES = {
     "symbol_counts": (symbol_counts, f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"(length(seq) - length(replace(seq, '{x}', '')))::BIGINT AS n_{x.lower()}" for x in "ACGT") + " FROM dna"),
@@ -157,5 +168,7 @@ QUERIES = {
     "qgram_diagonal_count": (qgram_diagonal_count, f"{HITS} SELECT doc_id, item_id, {SNAP} AS diag, count(*) AS n FROM hits GROUP BY ALL"),
     "qgram_best_diagonal": (qgram_best_diagonal, f"{HITS}, c AS (SELECT doc_id, item_id, {SNAP} AS diag, count(*) AS n FROM hits GROUP BY ALL) SELECT doc_id, item_id, diag, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id, diag) = 1"),
     "qgram_unique": (qgram_unique, f"WITH {POST12} SELECT count(DISTINCT qgram) AS unique_qgrams, count(*) AS qgrams FROM post"),
+    "qgram_page": (qgram_page, f"{HITS} SELECT doc_id, doc_pos, item_id, item_pos, row_number() OVER (ORDER BY doc_id, doc_pos, item_id, item_pos) - 1 AS hit FROM hits QUALIFY hit >= 500 AND hit < 1000"),
+    "checksum": (checksum, f"WITH {DOCS} SELECT count(*) AS rows, bit_xor(('0x' || substr(md5(doc_id || chr(9) || seq), 1, 15))::BIGINT) AS sum FROM dna"),
     "qgram_rare_hits": (qgram_rare_hits, f"WITH {SEEDS12}, {POST12}, r AS (SELECT qgram FROM post GROUP BY qgram HAVING count(*) <= 2) SELECT doc_id, count(*) AS n FROM seeds JOIN post USING (qgram) SEMI JOIN r USING (qgram) GROUP BY doc_id"),
 }
