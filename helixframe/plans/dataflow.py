@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import primitives as P
 from .tables import DOCS, ITEMS, docs, items, table
 
-_Q = F.col("l_quantity").cast("long")
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _O = ", ".join(_ORDER)
 
 
 def _lines(spark, d):
-    return table(spark, d, "lineitem").select(*_ORDER, _Q.alias("q"))
+    return table(spark, d, "lineitem").select(*_ORDER, F.col("l_quantity").cast("long").alias("q"))
 
 
 def scan_inclusive(spark, d):
