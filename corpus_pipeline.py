@@ -44,7 +44,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written before the next one reads them."""
+    """All stages over ``documents``; each stage's rows are written before the next one reads them.
+
+    Nulls in any column, empty and very long texts, ties, repeated rows and extra columns have the results
+    that the operators' docstrings define; an empty table goes through as an empty table.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

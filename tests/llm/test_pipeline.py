@@ -54,3 +54,25 @@ def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows_pass_through_every_stage(spark, tmp_path):
+    long = "word " * 60000
+    rows = [(i, f"text number {i} of some plain words", "en", f"src{i % 3}", 5, "x") for i in range(40)]
+    rows += [(100, None, None, None, None, None), (101, "", "en", None, 0, "x"), (102, long, None, "src1", 3, None), (103, long, "de", "src1", 3, "y"), (0, rows[0][1], "en", "src0", 5, "x"), (None, "no id at all here", "fr", "src2", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, salt string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        at = stage(spark, at, str(tmp_path))
+        if k < 4:
+            assert at.columns == docs.columns
+        if k == 2:
+            assert at.count() == at.select("doc_id").distinct().count()
+            assert at.where("text LIKE 'word word%'").count() == 1
+    assert at.count() > 0
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0
