@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -17,13 +18,11 @@ from pyspark.sql import functions as F
 
 from ._shared import read_table
 
-#: Words whose encodings a worker remembers, and the longest word it remembers.
-REMEMBERED = 150_000
+#: Words whose encodings a worker remembers in each of two generations, and the longest such word.
+REMEMBERED = 200_000
 REMEMBERED_LENGTH = 64
-#: White space as the vocabulary file's pattern engine has it (the Unicode property).
-WHITE = regex.compile(r"\p{White_Space}+")
-
-
+#: Room for a symbol id in a pair's number, and for a place in a queue entry.
+PAIR_BITS, PLACE_BITS = 20, 32
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte value in byte-level vocabularies."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -54,62 +53,80 @@ class WordBPE:
         self.names = {i: s for s, i in self.vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: s for s, i in self.special.items()}
-        self.special_at = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.special_at = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
+        # letters begin no other alternative, so they can be tried first; White_Space is what \s means to the file's engine
+        pattern = "|".join(sorted(pattern.split("|"), key=lambda p: not p.startswith(r"[\p{L}]")))
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ascii_words = re.compile(pattern.replace(r"\s", r"\x09-\x0d\x20").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, m in enumerate(model["merges"]):
             left, right = m if isinstance(m, list) else m.split(" ")
-            self.ranks[self.vocab[left], self.vocab[right]] = (rank, self.vocab[left + right])
-        self.letters = byte_letters()
+            self.ranks[self.vocab[left] << PAIR_BITS | self.vocab[right]] = rank
+            self.made.append(self.vocab[left + right])
+        letters = byte_letters()
+        self.inner = [self.vocab.get(c, -1) for c in letters]
+        self.final = [self.vocab.get(c + self.suffix, -1) for c in letters]
         self.memory: dict[str, tuple[int, bytes, str]] = {}
+        self.older: dict[str, tuple[int, bytes, str]] = {}
 
     def normalise(self, text: str) -> str:
-        text = WHITE.sub(" ", unicodedata.normalize("NFC", text))
-        # lower case is taken letter by letter: no final form of sigma
-        return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
+        """NFC and lower case.  White space need not be made plain: no word has any."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:  # lower case is taken letter by letter: no final form of sigma
+                text = text.replace("Σ", "σ")
+        return text.lower()
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word.
 
         Symbols form a doubly linked list; a queue holds the rank and the place of every pair that can
-        merge.  An entry whose pair has changed since it was queued is stale and is skipped.
+        merge, as one number.  An entry whose pair has changed since it was queued is stale and is skipped.
         """
-        shown = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        if self.suffix:
-            shown[-1] += self.suffix
-        symbol = [self.vocab[s] for s in shown if s in self.vocab]
+        data = word.encode("utf-8", "surrogatepass")
+        inner = self.inner
+        symbol = [inner[b] for b in data]
+        symbol[-1] = self.final[data[-1]]
+        if min(symbol) < 0:
+            symbol = [s for s in symbol if s >= 0]
         n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ranks = self.ranks
-        queue = [(found[0], i, found[1]) for i in range(n - 1) if (found := ranks.get((symbol[i], symbol[i + 1])))]
+        if n < 2:
+            return symbol
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        after[-1] = -1
+        rank_of, made = self.ranks.get, self.made
+        queue = [r << PLACE_BITS | i for i in range(n - 1) if (r := rank_of(symbol[i] << PAIR_BITS | symbol[i + 1])) is not None]
         heapq.heapify(queue)
+        pop, push, place = heapq.heappop, heapq.heappush, (1 << PLACE_BITS) - 1
         while queue:
-            _, i, new = heapq.heappop(queue)
+            entry = pop(queue)
+            i, rank = entry & place, entry >> PLACE_BITS
             j = after[i]
-            if symbol[i] < 0 or j < 0:
-                continue
-            found = ranks.get((symbol[i], symbol[j]))
-            if found is None or found[1] != new:
+            if j < 0 or symbol[i] < 0 or rank_of(symbol[i] << PAIR_BITS | symbol[j]) != rank:
                 continue
-            symbol[i], symbol[j] = new, -1
+            new = symbol[i] = made[rank]
+            symbol[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if found := ranks.get((new, symbol[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                if (r := rank_of(new << PAIR_BITS | symbol[k])) is not None:
+                    push(queue, r << PLACE_BITS | i)
             h = before[i]
-            if h >= 0 and (found := ranks.get((symbol[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1]))
+            if h >= 0 and (r := rank_of(symbol[h] << PAIR_BITS | new)) is not None:
+                push(queue, r << PLACE_BITS | h)
         return [s for s in symbol if s >= 0]
 
     def word(self, word: str) -> tuple[int, bytes, str]:
         """Number of ids, the ids as little-endian 32-bit integers, and their vocabulary strings."""
-        ids = self.merge(word)
-        got = len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join(self.names[i] for i in ids)
+        got = self.older.get(word)
+        if got is None:
+            ids, names = self.merge(word), self.names
+            got = len(ids), struct.pack(f"<{len(ids)}I", *ids), " ".join([names[i] for i in ids])
         if len(word) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
+                self.older, self.memory = self.memory, {}
             self.memory[word] = got
         return got
 
@@ -118,7 +135,8 @@ class WordBPE:
         at, memory, word = 0, self.memory, self.word
         ends = [(m.start(), m.end()) for m in self.special_at.finditer(text)] if self.special_at and "<" in text else []
         for start, end in [*ends, (len(text), len(text))]:
-            for w in self.words.findall(self.normalise(text[at:start])):
+            part = self.normalise(text[at:start] if ends else text)
+            for w in (self.ascii_words if part.isascii() else self.words).findall(part):
                 yield memory.get(w) or word(w)
             if end > start:
                 s = text[start:end]
