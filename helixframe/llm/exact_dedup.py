@@ -45,15 +45,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = cut(hashed)
 
     order = F.struct(F.col("n"), -F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)))
-    per_hash = rows.groupBy("h").agg(F.count("*").alias("c"), F.max_by("doc_id", order).alias("rep"), F.max("n").alias("rep_n"))
+    # written, so that the joins below are joins of two scans, whose large partitions can be split
+    per_hash = cut(rows.groupBy("h").agg(F.count("*").alias("c"), F.max_by("doc_id", order).alias("rep"), F.max("n").alias("rep_n")))
     many = per_hash.where("c > 1").withColumn("salts", F.ceil(F.col("c") / ROWS_PER_SALT).cast("int"))
 
     # compare the bytes of each row with those of its representative
     texts = src.select("doc_id", norm.alias("norm"), F.md5(norm).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    cand = texts.join(many, "h")
-    own = cand.select("h", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id", "norm")
-    reps = cand.where(F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("n") == F.col("rep_n"))).select(
-        "h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("rep_norm")
+    keyed_reps = many.select(F.col("h").alias("rh"), F.col("rep"), "rep_n", F.col("salts").alias("r_salts"))
+    own = texts.join(many.select("h", "salts"), "h").select("h", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id", "norm")
+    # the representatives are met by hash and id, so no group's rows come together here
+    named = (F.col("h") == F.col("rh")) & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("n") == F.col("rep_n"))
+    reps = texts.join(keyed_reps, named).select(
+        "h", F.explode(F.sequence(F.lit(0), F.col("r_salts") - 1)).alias("salt"), F.col("norm").alias("rep_norm")
     )
     differ = own.join(reps.dropDuplicates(["h", "salt"]), ["h", "salt"]).where("norm <> rep_norm")
     differ = cut(differ.select("doc_id", "h", F.concat(F.lit("="), "norm").alias("alt")).distinct())
