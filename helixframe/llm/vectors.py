@@ -18,7 +18,7 @@ THRESHOLD = 0.93
 VECTORS_PER_PIVOT = 256
 PIVOTS = (64, 4096)
 #: Nearest reference points that describe a vector, and how many two vectors must share.
-NEAREST = 8
+NEAREST = 6
 SHARED = 2
 #: Members of an inverted list that are compared at once; longer lists are divided into cells.
 CELL = 1024
@@ -82,7 +82,9 @@ def near_vectors(
     """
     v = F.col("v")
     fine = v.isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    # single precision is enough to carry what came in single precision; it is computed with in double
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     src = src.withColumn("fine", F.coalesce(fine, F.lit(False))).withColumn("h", F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64("v", F.lit("second"), "label").alias("b")))
     rows = cut(src.select("vec_id", "fine", "h.a", "h.b"))
     reps = src.where("fine").groupBy("h.a", "h.b").agg(F.count("*").alias("c"), F.min("vec_id").alias("first"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
@@ -100,7 +102,7 @@ def near_vectors(
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, ends = b.column(1).flatten().to_numpy(), np.diff(b.column(1).offsets.to_numpy())
+            flat, ends = b.column(1).flatten().to_numpy().astype(np.float64), np.diff(b.column(1).offsets.to_numpy())
             starts = np.concatenate([[0], np.cumsum(ends)])
             dense = np.zeros((len(ends), width))
             for k, n in enumerate(ends):
@@ -112,12 +114,15 @@ def near_vectors(
             perm = describe(dense, pivots, nearest)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(perm), pa.list_(pa.int32()))], names=["node", "perm"])
 
+    shared = min(shared, len(chosen))
     perms = cut(reps.select("node", "v").mapInArrow(permute, "node long, perm array<int>"))
+    # the smallest of at least `shared` common numbers is none of a vector's own `shared` - 1 largest
+    entries = F.slice(F.array_sort("perm"), 1, F.greatest(F.size("perm") - (shared - 1), F.lit(1)))
     whole = perms.join(reps.select("node", "c", "label", "v"), "node").withColumn("size", F.size("v"))
-    lists = perms.join(reps.select("node", "label", F.size("v").alias("size")), "node").select("label", "size", F.explode("perm").alias("pivot"))
+    lists = perms.join(reps.select("node", "label", F.size("v").alias("size")), "node").select("label", "size", F.explode(entries).alias("pivot"))
     long_ones = cut(lists.groupBy("label", "size", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("label", "size", "pivot", F.ceil(F.col("n") / cell).cast("int").alias("blocks")))
     few = long_ones.count() <= BROADCAST_LISTS
-    member = whole.withColumn("pivot", F.explode("perm")).join(F.broadcast(long_ones) if few else long_ones, ["label", "size", "pivot"], "left")
+    member = whole.withColumn("pivot", F.explode(entries)).join(F.broadcast(long_ones) if few else long_ones, ["label", "size", "pivot"], "left")
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
     member = member.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
