@@ -243,13 +243,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id.
+    """``docs`` with one row of each near-duplicate group, the one with the smallest id.
 
-    Rows that repeat an id count as one document.  Columns are as they are.
+    A row is known by its id and 128 bits of its text: rows that repeat an id, or have none, stay if their
+    groups differ.  A row without an id gives way to one that has one; of equal rows one stays.  Columns
+    are as they are.
     """
-    keep = simhash_groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    own = F.struct(F.col(id_col).cast("long").isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit("second")).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, type=pa.int64())], names=["own", "fp"])
+
+    rows = docs.select(own.alias("own"), F.col(text_col).alias("text")).mapInArrow(run, "own struct<none:boolean,id:long,a:long,b:long>, fp long")
+    points = cut(rows.groupBy("fp").agg(F.min("own").alias("first")))
+    rooted = points.join(near_groups(points), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
+    marked = docs.withColumn("__own", own)
+    same = F.col("__own.id").eqNullSafe(F.col("__id")) & (F.col("__own.a") == F.col("__a")) & (F.col("__own.b") == F.col("__b"))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["__own"]).drop("__own")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,12 @@ def test_odd_rows_pass_through_every_stage(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, str(tmp_path))
     assert none.count() == 0
+
+
+def test_near_dedup_keeps_unrelated_rows_that_share_an_id_or_have_none(spark):
+    texts = [f"row {k} tells of {' '.join(chr(97 + (k * 7 + j * j) % 26) * 5 for j in range(12))}" for k in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (None, texts[4]), (3, texts[4]), (None, texts[5]), (None, texts[5]), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.simhash(spark, docs, SF)
+    want = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (None, texts[5]), (4, None)]
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
