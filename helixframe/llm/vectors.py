@@ -17,8 +17,9 @@ THRESHOLD = 0.93
 #: Reference points: one per so many different vectors, within these bounds.
 VECTORS_PER_PIVOT = 256
 PIVOTS = (64, 4096)
-#: Nearest reference points that describe a vector, and how many two vectors must share.
-NEAREST = 6
+#: Nearest reference points that describe a vector, with one more for each doubling of the reference
+#: points beyond the fewest, so that recall stays level; and how many two vectors must share.
+NEAREST = 8
 SHARED = 2
 #: Members of an inverted list that are compared at once; longer lists are divided into cells.
 CELL = 1024
@@ -26,6 +27,11 @@ CELL = 1024
 BROADCAST_LISTS = 50_000
 
 
+def nearest_of(pivots: int) -> int:
+    """How many of ``pivots`` reference points describe a vector."""
+    return NEAREST + max(0, round(float(np.log2(max(pivots, 1) / PIVOTS[0]))))
+
+
 def describe(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
     """Numbers of the ``nearest`` reference points of each vector by cosine, the nearest first."""
     v = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -61,14 +67,14 @@ def links_in_cell(perms: np.ndarray, units: np.ndarray, pivot: int, left: np.nda
 
 def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    nearest: int = NEAREST, shared: int = SHARED, cell: int = CELL,
+    nearest: int | None = None, shared: int = SHARED, cell: int = CELL,
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Vectors of one label link if their cosine in double precision reaches ``threshold``.  Equal vectors
     become one representative with a weight.  A bounded number of representatives, those with the
     smallest hashes, serve as reference points; every representative is described by its ``nearest``
-    ones in order and entered in the inverted list of each.  Members of a list that share enough
+    ones (``nearest_of`` their number, if not given) in order and entered in the inverted list of each.  Members of a list that share enough
     reference points are candidates, and each candidate pair is verified in the list of the smallest
     number it shares.  Lists longer than ``cell`` are divided into cells of blocks against blocks, so
     that none is gathered whole and no candidate is given up.  A cell returns, per vector, the weight it
@@ -94,6 +100,7 @@ def near_vectors(
     chosen = [r[0] for r in reps.select("v", "node").orderBy(F.xxhash64("a", "b"), "node").limit(count).collect()]
     if not chosen:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    nearest = nearest or nearest_of(len(chosen))
     width = max(map(len, chosen))
     pivots = np.zeros((len(chosen), width))
     for k, p in enumerate(chosen):

@@ -1,5 +1,6 @@
 import numpy as np
 
+from helixframe.llm import vectors
 from helixframe.llm.vectors import near_vectors
 
 
@@ -58,3 +59,20 @@ def test_recall_near_the_threshold(spark):
     print("recall", found)
     assert found >= 0.9
     assert all(r.component_id == r.vec_id % 3000 for r in got if r.n_links)
+
+
+def test_recall_stays_level_as_reference_points_grow():
+    """Planted pairs share enough of the nearest reference points, whatever the number of them."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base, away = unit(rng.normal(size=(1500, 64))), rng.normal(size=(1500, 64))
+    away = unit(away - (away * base).sum(axis=1, keepdims=True) * base)
+    cosine = rng.uniform(0.932, 0.95, size=(1500, 1))
+    twin = cosine * base + np.sqrt(1 - cosine**2) * away
+    for n in (64, 1024, 4096):
+        pivots = unit(rng.normal(size=(n, 64)))
+        k = vectors.nearest_of(n)
+        a, b = (vectors.describe(x, pivots, k) for x in (base, twin))
+        recall = ((a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= vectors.SHARED).mean()
+        print("recall", n, k, recall)
+        assert recall >= 0.999, n
