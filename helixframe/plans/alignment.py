@@ -221,7 +221,7 @@ def aligner(spark, d):
     """Items as reads, aligned to the documents."""
     reads = items(spark, d).select(F.col("item_id").alias("read_id"), "seq")
     refs = docs(spark, d).select(F.col("doc_id").alias("ref_id"), "seq")
-    out = G.align_reads(reads, refs, G.Options(seed=12, interval=4, max_hits=10_000))
+    out = G.align_reads(reads, refs, G.Options(seed=12, interval=4))
     return out.select("read_id", *(_L(c) for c in ("flag", "ref_id", "pos", "score", "second_score", "mapq", "ed")), "cigar", "md")
 
 
