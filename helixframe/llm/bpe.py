@@ -7,12 +7,11 @@ import heapq
 import json
 import re
 import struct
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,31 @@ REMEMBERED = 200_000
 REMEMBERED_LENGTH = 64
 #: Room for a symbol id in a pair's number, and for a place in a queue entry.
 PAIR_BITS, PLACE_BITS = 20, 32
+#: Texts below the first two code points take plain ways; the last is beyond all code points.
+ASCII, LATIN, ALL = 0x80, 0x180, 0x110000
+_BEYOND_LATIN = re.compile(r"[^\x00-\u017f]")
+
+
+@cache
+def classes(upto: int) -> dict[str, str]:
+    """Letters, numbers and white space below a code point, as insides of a bracket expression.
+
+    The library is asked for each code point's class, as its tables of Unicode are its own: neither
+    Python's nor those of another engine are of the same age.  All code points take about two seconds,
+    once per worker, and only if a text needs them.
+    """
+    names = (r"\p{L}", r"\p{N}", r"\s")
+    split = lambda p, text: [at for _, at in tokenizers.pre_tokenizers.Split(tokenizers.Regex(p), "removed", invert=True).pre_tokenize_str(text)]
+    every = "".join(map(chr, (c for c in range(upto) if not 0xD800 <= c < 0xE000)))
+    runs = split("|".join(f"{n}+" for n in names), every)
+    firsts = "".join(every[a] for a, _ in runs)
+    kind = {a: n for n in names for a, _ in split(n, firsts)}
+    out = dict.fromkeys(names, "")
+    for k, (a, b) in enumerate(runs):
+        out[kind[k]] += f"\\U{ord(every[a]):08x}-\\U{ord(every[b - 1]):08x}"
+    return out
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte value in byte-level vocabularies."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -41,7 +65,9 @@ class WordBPE:
 
     Supports what the public files of this kind hold: NFC, white space to one space, lower case, a
     split pattern whose matches are kept, byte-level letters, BPE without an unknown token, and special
-    tokens that are found in the text as given.
+    tokens that are found in the text as given.  Beyond ``LATIN`` texts are normalised by the file's own
+    normaliser in the library, and the split pattern's classes are the library's (``classes``), so that
+    marks and letters of any age are ordered and told apart as there.
     """
 
     def __init__(self, path: str):
@@ -55,10 +81,10 @@ class WordBPE:
         self.names |= {i: s for s, i in self.special.items()}
         self.special_at = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        # letters begin no other alternative, so they can be tried first; White_Space is what \s means to the file's engine
-        pattern = "|".join(sorted(pattern.split("|"), key=lambda p: not p.startswith(r"[\p{L}]")))
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.ascii_words = re.compile(pattern.replace(r"\s", r"\x09-\x0d\x20").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
+        # letters begin no other alternative, so they can be tried first
+        self.pattern = "|".join(sorted(pattern.split("|"), key=lambda p: not p.startswith(r"[\p{L}]")))
+        self.words = {upto: self.splitter(upto) for upto in (ASCII, LATIN)}
+        self.normaliser = tokenizers.Tokenizer.from_file(path).normalizer
         self.ranks: dict[int, int] = {}
         self.made: list[int] = []
         for rank, m in enumerate(model["merges"]):
@@ -71,13 +97,25 @@ class WordBPE:
         self.memory: dict[str, tuple[int, bytes, str]] = {}
         self.older: dict[str, tuple[int, bytes, str]] = {}
 
-    def normalise(self, text: str) -> str:
-        """NFC and lower case.  White space need not be made plain: no word has any."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # lower case is taken letter by letter: no final form of sigma
-                text = text.replace("Σ", "σ")
-        return text.lower()
+    def splitter(self, upto: int) -> re.Pattern:
+        """The split pattern with classes spelled out below a code point."""
+        pattern = self.pattern
+        for name, inside in classes(upto).items():
+            pattern = pattern.replace(name, inside)
+        return re.compile(pattern)
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text in NFC and lower case.  White space need not be made plain: no word has any.
+
+        Nothing below ``LATIN`` changes in NFC, and lower case is the same in all tables there.
+        """
+        if text.isascii():
+            return self.words[ASCII].findall(text.lower())
+        if not _BEYOND_LATIN.search(text):
+            return self.words[LATIN].findall(text.lower())
+        if ALL not in self.words:
+            self.words[ALL] = self.splitter(ALL)
+        return self.words[ALL].findall(self.normaliser.normalize_str(text))
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word.
@@ -135,8 +173,7 @@ class WordBPE:
         at, memory, word = 0, self.memory, self.word
         ends = [(m.start(), m.end()) for m in self.special_at.finditer(text)] if self.special_at and "<" in text else []
         for start, end in [*ends, (len(text), len(text))]:
-            part = self.normalise(text[at:start] if ends else text)
-            for w in (self.ascii_words if part.isascii() else self.words).findall(part):
+            for w in self.split(text[at:start] if ends else text):
                 yield memory.get(w) or word(w)
             if end > start:
                 s = text[start:end]

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from helixframe.llm.bpe import WordBPE, encode_digests, encode_ids
+from helixframe.llm.bpe import LATIN, WordBPE, encode_digests, encode_ids
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -38,3 +38,18 @@ def test_rows(spark, pair):
     assert encode_digests(df).count() == len(rows)
     assert encode_ids(df.where("doc_id = 3 AND text IS NOT NULL")).first().decoded == lib.decode(lib.encode(ODD[3], add_special_tokens=False).ids, skip_special_tokens=False)
     assert encode_digests(df.limit(0)).count() == 0
+
+
+def test_code_points_as_the_library(pair):
+    """Alone, after a letter, after a mark, and between marks: all below U+3000, and every 17th beyond."""
+    bpe, lib = pair
+    points = [*range(0x3000), *range(0x3000, 0xD800, 17), *range(0xE000, 0x110000, 17)]
+    for at in range(0, len(points), 64):
+        text = " ".join("{0} a{0} á{0} a{0}̖́b".format(chr(c)) for c in points[at : at + 64])
+        assert bpe.encode(text) == lib.encode(text, add_special_tokens=False).ids, hex(points[at])
+
+
+def test_lower_case_of_plain_letters(pair):
+    bpe, _ = pair
+    for c in range(LATIN):
+        assert chr(c).lower() == bpe.normaliser.normalize_str(chr(c)) or chr(c).isspace(), hex(c)
