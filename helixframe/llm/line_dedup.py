@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, read_table
 
-#: A line on more than this part of its host's pages is dropped ...
+#: A line on more than this part of its host's pages is dropped, if more pages than one have it.
 RATIO = 0.3
-#: ... if the host has at least so many pages.
-MIN_PAGES = 5
 
-# what ends a line of a page or is no text of it
+# What ends a line of a page or is no text of it.  A script, style or comment that nothing closes goes on to
+# the page's end, and a tag holds no other's beginning: so each character is read once, whatever the page.
 BREAKS = (
-    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-    r"|</?(?:html|head|title|body|p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|section|article|aside|nav|header|footer|main|pre|blockquote|form)\b[^>]*>"
+    r"(?is)<script\b.*?(?:</script[\x20\x09-\x0D]*>|\z)|<style\b.*?(?:</style[\x20\x09-\x0D]*>|\z)|<!--.*?(?:-->|\z)"
+    r"|</?(?:html|head|title|body|p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|section|article|aside|nav|header|footer|main|pre|blockquote|form)\b[^<>]*>"
 )
-TAGS = r"<[^>]*>"
+TAGS = r"<[^<>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -41,27 +40,27 @@ def _mark(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit("second")).alias("b"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, host, lines, kept`` (arrays of lines, in the page's order).
 
-    A line counts once per page, however often the page repeats it.  Its count over the host's pages is
-    taken from marks of 128 bits, combined before the shuffle; the page texts are shuffled once, to meet
-    the marks that their page loses.  A host or a line that is on a third of all pages is a key of
-    partial sums and of a join whose large partitions can be split, and is never gathered.
+    A line counts once per page, however often the page repeats it; a line that only one page of the host
+    has is shared with none and stays.  Pages are taken apart once and their lines written; counts are
+    taken from marks of 128 bits, combined before the shuffle; the lines are shuffled once, to meet the
+    marks that their page loses.  A host or a line that is on a third of all pages is a key of partial
+    sums and of joins of written tables, whose large partitions can be split, and is never gathered.
 
-    Defined cases: a page without host keeps all its lines, as does a host with fewer than ``min_pages``
-    pages; null or empty html has no lines; rows that repeat a page count as pages of their own; an
-    empty table gives an empty result; other columns are ignored.
+    Defined cases: a page without host keeps all its lines; null or empty html has no lines; rows that
+    repeat a page count as pages of their own; very long pages are read once from end to end; an empty
+    table gives an empty result; other columns are ignored.
     """
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), page_lines(F.col(text_col)).alias("lines"))
-    marks = cut(src.where("host <> ''").select("page_id", "host", F.array_distinct(F.transform("lines", _mark)).alias("marks")))
-    each = marks.select("page_id", "host", F.explode("marks").alias("m")).select("page_id", "host", "m.a", "m.b")
+    parts = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), page_lines(F.col(text_col)).alias("lines"))
+    rows = cut(parts.select(F.monotonically_increasing_id().alias("row"), "*"))
+    each = rows.where("host <> ''").select("row", "host", F.explode(F.array_distinct(F.transform("lines", _mark))).alias("m")).select("row", "host", "m.a", "m.b")
     per_line = each.groupBy("host", "a", "b").agg(F.count("*").alias("n"))
-    per_host = marks.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= min_pages)
+    per_host = cut(rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("total")))
     common = cut(per_line.where("n > 1").join(per_host, "host").where(F.col("n") > ratio * F.col("total")).select("host", "a", "b"))
-    lost = each.join(common, ["host", "a", "b"], "left_semi").groupBy("page_id", "host").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
-    lost = lost.withColumnRenamed("page_id", "__id").withColumnRenamed("host", "__host")
-    both = src.join(lost, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("host") == F.col("__host")), "left")
+    lost = each.join(common, ["host", "a", "b"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("lost"))
+    both = rows.join(lost, "row", "left")
     gone = F.coalesce("lost", F.array().cast("array<struct<a:bigint,b:bigint>>"))
     return both.select("page_id", "host", "lines", F.when(F.size(gone) == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(gone, _mark(x)))).alias("kept"))
 
@@ -84,7 +83,7 @@ WITH p AS (
   FROM pages),
 t AS (SELECT host, count(*) AS total FROM p WHERE host <> '' GROUP BY host),
 l AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p WHERE host <> '') GROUP BY ALL),
-c AS (SELECT host, list(line) AS lost FROM l JOIN t USING (host) WHERE total >= {MIN_PAGES} AND n > 1 AND n > {RATIO} * total GROUP BY host),
+c AS (SELECT host, list(line) AS lost FROM l JOIN t USING (host) WHERE n > 1 AND n > {RATIO} * total GROUP BY host),
 k AS (SELECT page_id, host, lines, CASE WHEN lost IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(lost, x)) END AS kept FROM p LEFT JOIN c USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped,
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k

@@ -12,6 +12,8 @@ from ._shared import cut, read_table
 
 #: Rows of a leaf in one bucket of its order.
 ROWS_PER_BUCKET = 512
+#: Steps of the ratio of room to weight for each doubling.
+STEPS = 8
 #: Leaves that are broadcast to the documents; beyond that the leaves are joined by a shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -57,20 +59,27 @@ def _weight(mix: Mix, level: str) -> Column:
     return out
 
 
-def _share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
+def _share_out(children: DataFrame, parent: list[str]) -> DataFrame:
     """Adds ``give``: each child's part of its parent's ``budget``, by ``weight`` up to ``room``.
 
     Children fill up in proportion to their weights; what a full child leaves over goes to its siblings
-    by their weights.  The level at which this settles is the largest of the levels found by filling the
-    children in the order of room to weight.
+    by their weights, up to a level of room to weight that uses the budget.  Sums over steps of that
+    ratio, combined before the shuffle, tell in which step the level lies; only the ratios of that step
+    are put in order, each once, so that a parent may have any number of children.
     """
-    ratio = F.col("room") / F.col("weight")
-    up = W.partitionBy(*parent).orderBy(ratio, child)
-    full = F.coalesce(F.sum("room").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing))
-    level = children.withColumn("level", (F.col("budget") - full) / rest)
-    level = level.withColumn("level", F.max("level").over(W.partitionBy(*parent)))
-    return level.withColumn("give", F.least("room", F.col("level") * F.col("weight"))).drop("level")
+    kids = children.withColumn("ratio", F.col("room") / F.col("weight")).withColumn("step", F.coalesce(F.floor(F.log2("ratio") * STEPS), F.lit(-(2**20))))
+    steps = kids.groupBy(*parent, "step").agg(F.sum("room").alias("r"), F.sum("weight").alias("w"), F.min("ratio").alias("lo"), F.max("budget").alias("budget"))
+    up = W.partitionBy(*parent).orderBy("step")
+    below = F.coalesce(F.sum("r").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    steps = steps.withColumn("below", below).withColumn("rest", F.sum("w").over(up.rowsBetween(0, W.unboundedFollowing))).withColumn("first", F.row_number().over(up) == 1)
+    reached = F.col("first") | (F.col("below") + F.col("lo") * F.col("rest") <= F.col("budget"))
+    start = F.max((F.col("budget") - F.col("below")) / F.col("rest")).alias("start")
+    at = steps.groupBy(*parent).agg(F.max(F.when(reached, F.struct("step", "below", "rest"))).alias("at"), start).select(*parent, "at.step", "at.below", "at.rest", "start")
+    inside = kids.join(at, [*parent, "step"]).groupBy(*parent, "ratio", "below", "rest", "start").agg(F.sum("room").alias("r"), F.sum("weight").alias("w"), F.max("budget").alias("budget"))
+    before = W.partitionBy(*parent).orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)
+    full, used = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("r", "w"))
+    level = inside.withColumn("level", F.greatest("start", (F.col("budget") - F.col("below") - full) / (F.col("rest") - used))).groupBy(*parent).agg(F.max("level").alias("level"))
+    return children.join(level, parent).withColumn("give", F.least("room", F.col("level") * F.col("weight"))).drop("level")
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -93,7 +102,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
             parent = ["__all"]
         else:
             above = rooms.join(parts.select(*parent, "budget"), parent)
-        parts = _share_out(above, parent, LEVELS[depth]).select(*keys, F.col("give").alias("budget"))
+        parts = _share_out(above, parent).select(*keys, F.col("give").alias("budget"))
     return leaves.join(parts, list(LEVELS)).withColumn("give", F.floor(F.col("budget") + 1e-6)).drop("budget")
 
 
@@ -103,7 +112,9 @@ def _place(seed: int, epoch: Column, doc: Column) -> Column:
 
 
 def _bucket(place: Column, buckets: Column) -> Column:
-    return F.shiftright(F.shiftright(place, 12) * buckets, 40)
+    """The first 40 bits of the place as a part of all buckets; in two halves, as their product may need more than 64 bits."""
+    high, low = F.shiftright(place, 32), F.shiftright(place, 12).bitwiseAND(F.lit(2**20 - 1))
+    return F.shiftright(high * buckets + F.shiftright(low * buckets, 20), 20)
 
 
 def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
@@ -112,7 +123,8 @@ def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
 
     ``rows`` has the leaf, ``doc_id`` and ``n_tokens`` of every document.  A leaf's order is divided into
     buckets of about ``ROWS_PER_BUCKET`` rows by place; bucket sums are combined before the shuffle, and
-    only the one bucket per leaf in which the budget ends is ordered row by row.  No task sees a leaf.
+    only the one bucket per leaf in which the budget ends is ordered, by place and id; rows that share
+    both are summed first.  No task sees a leaf.
     """
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
     plan = budgets(leaves, mix).where("tokens > 0")
@@ -125,7 +137,8 @@ def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
     upto = F.sum("n").over(W.partitionBy(*LEVELS).orderBy("bucket"))
     last = sums.withColumn("upto", upto).where("upto > rest AND upto - n <= rest").select(*LEVELS, "bucket", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
     within = F.sum("n_tokens").over(W.partitionBy(*LEVELS, "bucket").orderBy("place", "doc_id"))
-    ends = held.drop("rest").join(F.broadcast(last) if few else last, [*LEVELS, "bucket"]).withColumn("within", within).where("within <= left")
+    ends = held.drop("rest").join(F.broadcast(last) if few else last, [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "left", "place", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"))
+    ends = ends.withColumn("within", within).where("within <= left")
     ends = ends.groupBy(*LEVELS).agg(F.max(F.struct("place", "doc_id")).alias("end"))
     joined = plan.join(last.select(*LEVELS, "bucket"), list(LEVELS), "left").join(ends, list(LEVELS), "left")
     return cut(joined.select(*LEVELS, "whole", "buckets", "bucket", F.col("end.place").alias("end_place"), F.col("end.doc_id").alias("end_id")))

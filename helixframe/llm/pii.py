@@ -22,8 +22,9 @@ INSTANCE_SCORE = 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+# a match cannot begin inside a run of digits, as it would have begun with the run; so each run is read once
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: A token that could be an identifier has a digit or an at sign among these characters.
@@ -124,7 +125,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 rows = []
                 for k, s, e in here:
                     own = text[s:e]
-                    form = shape(own) if k < 0 else KINDS[k]
+                    form = shape(own)
                     name = int.from_bytes(hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
                     if patterns := context(text, s):
                         rows.append({"k": k, "s": s, "e": e, "patterns": patterns, "form": form, "name": name})
@@ -145,24 +146,32 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def trusted_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(pattern, form, kind, score)`` of the patterns that may name new instances.
+    """``(pattern, k, p)``: patterns that may name new instances of a kind, with their scores.
 
     The graph has an edge for each pattern-instance pair that occurs.  A pattern's score for a kind is
-    the part of its distinct instances, weighted by their own scores, that are of the kind; a pattern
-    needs ``PATTERN_SEEDS`` such instances.  An instance's score is the probability that one of its
-    trusted patterns is right.  Seeds have the score one.  Sums per pattern and per instance are combined
-    before their shuffles, so a pattern on a third of all rows costs one row per task.
+    the part of its distinct instances, weighted by their own scores, that are of the kind; instances of
+    unknown kind speak against it unless they have the form (``shape``) of a known instance of the kind.
+    A pattern needs ``PATTERN_SEEDS`` instances of the kind.  An instance's score is the probability that
+    one of its trusted patterns is right.  Seeds have the score one.  Sums per pattern and per instance
+    are combined before their shuffles, so a pattern on a third of all rows costs one row per task; the
+    forms are written before they are joined, so that a common form's partition can be split.
     """
     edges = cut(seen.select(F.explode("patterns").alias("pattern"), "name", "form", "k").groupBy("pattern", "name").agg(F.max("k").alias("k"), F.max("form").alias("form")))
-    base = edges.where("k >= 0").select("name", "k", F.lit(1.0).alias("score")).distinct()
-    known = base
-    out = None
+    base = cut(edges.where("k >= 0").select("name", "k", F.lit(1.0).alias("score")).distinct())
+    known, out = base, None
     for _ in range(rounds):
-        per_pattern = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-        hits = edges.select("pattern", "name").join(known, "name").groupBy("pattern", "k").agg(F.sum("score").alias("hit"))
-        out = cut(hits.join(per_pattern, "pattern").withColumn("p", F.col("hit") / F.col("n")).where((F.col("p") >= PATTERN_SCORE) & (F.col("hit") >= PATTERN_SEEDS)).select("pattern", "k", "p"))
+        tagged = edges.select("pattern", "name", "form").join(known, "name", "left")
+        hits = tagged.where("k IS NOT NULL").groupBy("pattern", "k").agg(F.sum("score").alias("hit"))
+        every = tagged.groupBy("pattern").agg(F.sum(F.coalesce("score", F.lit(1.0))).alias("n"))
+        forms = cut(tagged.where("k IS NOT NULL").select("form", "k").distinct())
+        other = tagged.where("k IS NULL").groupBy("pattern", "form").agg(F.count("*").alias("n"))
+        alike = other.join(forms, "form").groupBy("pattern", "k").agg(F.sum("n").alias("alike"))
+        rated = hits.join(every, "pattern").join(alike, ["pattern", "k"], "left").withColumn("p", F.col("hit") / (F.col("n") - F.coalesce("alike", F.lit(0))))
+        out = cut(rated.where((F.col("p") >= PATTERN_SCORE) & (F.col("hit") >= PATTERN_SEEDS)).select("pattern", "k", "p"))
         new = edges.where("k < 0").select("pattern", "name").join(out, "pattern").groupBy("name", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("score"))
-        known = cut(base.unionByName(new.where(F.col("score") >= INSTANCE_SCORE).select("name", "k", "score")))
+        best = new.where(F.col("score") >= INSTANCE_SCORE).groupBy("name").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
+        best = best.select("name", (-F.col("b.k")).alias("k"), "b.score").join(base.select("name"), "name", "left_anti")
+        known = cut(base.unionByName(best))
     return out
 
 

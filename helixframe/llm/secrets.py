@@ -72,9 +72,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     it; a weak identifier is reported with it.  Access keys count as identifiers too, and a base
     assignment or hexadecimal string next to a weak identifier and an endpoint reports the identifier.
 
-    The parts are linked by interval joins on the row and on cells of ``scope`` code points; parts do
-    not overlap, so a cell holds a bounded number and the joins grow with the text.  Texts are read in
-    one pass and never shuffled: only places of parts are.
+    The parts are linked by interval joins on the row and on cells of ``scope`` code points: by their
+    starts, and for overlaps by every cell that a part covers.  Parts of one kind do not overlap, so a
+    cell holds a bounded number of them, a long part is in as many cells as its length asks for, and the
+    joins grow with the text.  Texts are read in one pass and never shuffled: only places of parts are.
 
     Defined cases: a null text counts as empty; rows without a part have empty arrays; repeated rows and
     null ids are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -112,8 +113,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     ended = secrets.join(ends, ["row", "cell"]).where(close("p")).select("row", "cell", "s", "e", "k").distinct()
     links = ended.join(idents, ["row", "cell"]).where(close("i"))
     # an opaque token inside or across another part is that part
-    weak = links.where(F.col("k") == kinds["weak"]).select("row", "s", "e", "cell").distinct()
-    inside = weak.join(around(strong, "o"), ["row", "cell"]).where((F.col("s") < F.col("o_e")) & (F.col("o_s") < F.col("e"))).select("row", "s", "e").distinct()
+    weak = links.where(F.col("k") == kinds["weak"]).select("row", "s", "e").distinct()
+    covered = F.explode(F.sequence(F.floor(F.col("s") / scope), F.floor((F.col("e") - 1) / scope)))
+    over = strong.select("row", covered.alias("cell"), F.col("s").alias("o_s"), F.col("e").alias("o_e"))
+    inside = weak.select("row", "s", "e", covered.alias("cell")).join(over, ["row", "cell"]).where((F.col("s") < F.col("o_e")) & (F.col("o_s") < F.col("e"))).select("row", "s", "e").distinct()
     weak = weak.join(inside, ["row", "s", "e"], "left_anti").select("row", "s", F.lit(kinds["weak"]).alias("k"), "e")
     kept = links.where((F.col("k") != kinds["weak"]) & (F.col("i_k") == kinds["ident"])).select("row", F.col("i_s").alias("s"), F.col("i_k").alias("k"), F.col("i_e").alias("e"))
     by_weak = links.where((F.col("k") == kinds["weak"]) & (F.col("i_k") == kinds["ident"])).join(weak.select("row", "s", "e"), ["row", "s", "e"], "left_semi")

@@ -3,7 +3,9 @@ import random
 import duckdb
 import pytest
 
-from helixframe.llm.mixing import Mix, mixed_documents, mixture, mixture_sql
+from pyspark.sql import functions as F
+
+from helixframe.llm.mixing import Mix, _bucket, mixed_documents, mixture, mixture_sql
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, place long"
 
@@ -104,3 +106,26 @@ def test_hot_leaf_in_buckets(spark):
     df = spark.createDataFrame(rows, COLUMNS)
     mix = Mix(share=0.5)
     assert sorted((r.doc_id, r.epoch) for r in mixture(df, mix).collect()) == brute(rows, mix)
+
+
+def test_buckets_of_very_large_leaves(spark):
+    rng = random.Random(2)
+    rows = [(rng.getrandbits(52), n) for n in (1, 7, 2**20, 2**23, 2**31 + 5, 2**40) for _ in range(50)] + [(2**52 - 1, 2**40), (0, 2**40)]
+    got = spark.createDataFrame(rows, "place long, n long").withColumn("b", _bucket(F.col("place"), F.col("n"))).collect()
+    assert all(r.b == (r.place >> 12) * r.n >> 40 for r in got)
+
+
+def test_many_sources_of_a_parent(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([1, 2, 40, 900]), "en", f"s{rng.randrange(700)}", 1, 1) for i in range(4000)]
+    mix = Mix(share=1.1, source={f"s{k}": float(1 + k % 5) for k in range(60)})
+    got = sorted((r.doc_id, r.epoch) for r in mixture(spark.createDataFrame(rows, COLUMNS), mix).collect())
+    assert got == brute(rows, mix)
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id in a leaf have one place and stand or fall together."""
+    rows = [(None, "a b", "en", "src1", 1, 1)] * 3000 + [(i, "a b c", "en", "src1", 1, 1) for i in range(3000)]
+    got = mixture(spark.createDataFrame(rows, COLUMNS), Mix(share=0.5)).groupBy("doc_id").count().collect()
+    by = {r.doc_id: r["count"] for r in got}
+    assert by.pop(None, 0) in (0, 3000) and set(by.values()) == {1}
