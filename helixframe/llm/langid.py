@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, read_table
 
-#: Positions of the filter (a power of two) and positions an n-gram sets.
-POSITIONS = 1 << 21
+#: Positions of the filter (powers of two, least and most): about ``SPARE`` for each n-gram that it holds.
+POSITIONS = (1 << 18, 1 << 24)
+SPARE = 8
+#: The filter has half the positions while it would be larger than this, in bytes.
+FILTER_BYTES = 1 << 28
+#: Positions an n-gram sets.
 HASHES = 3
-#: A language contains an n-gram that it has so often, and at least this part as often as the language that has it most.
-LEAST_COUNT = 4
+#: A language contains an n-gram that it has so often, both as a count and as a part of all its n-grams, and at
+#: least this part as often as the language that has it most.
+LEAST_COUNT = 2
+LEAST_RATE = 1e-7
 LEAST_PART = 0.2
 #: Bytes of an n-gram.
 N = 4
@@ -49,17 +55,21 @@ def places(codes: np.ndarray, positions: int = POSITIONS) -> list[np.ndarray]:
 
 
 class Filter:
-    """Row ``p`` of the filter is the set of languages, as bits, that have set position ``p``."""
+    """Row ``p`` of the filter is the set of languages, as bits of one or more words, that have set position ``p``."""
 
     def __init__(self, table: np.ndarray, languages: list[str]):
-        self.table, self.languages = table, languages
-        n = len(languages)
-        fill = np.array([np.count_nonzero(table & table.dtype.type(1 << k)) for k in range(n)]) / len(table)
+        self.table, self.languages = table.reshape(len(table), -1), languages
+        self.bits = self.table.dtype.itemsize * 8
+        fill = np.array([np.count_nonzero(self.of(self.table, k)) for k in range(len(languages))]) / len(table)
         #: The rate at which a language claims an n-gram that it has not stored.
         self.false = fill**HASHES
 
+    def of(self, rows: np.ndarray, language: int) -> np.ndarray:
+        """The bit of a language in rows of the table."""
+        return rows[:, language // self.bits] & self.table.dtype.type(1 << language % self.bits)
+
     def containing(self, codes: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that contain it, as bits."""
+        """For each n-gram the languages that contain it, as bits of words."""
         out = None
         for p in places(codes, len(self.table)):
             got = self.table[p]
@@ -68,15 +78,14 @@ class Filter:
 
     def counts(self, codes: np.ndarray) -> np.ndarray:
         """Per language the number of n-grams it contains, corrected for false positives."""
-        masks = np.bincount(self.containing(codes).astype(np.int64), minlength=1) if len(self.languages) <= 16 else None
-        total = len(codes)
-        if masks is not None:
+        n, got = len(self.languages), self.containing(codes)
+        if self.bits <= 16 and self.table.shape[1] == 1:
+            masks = np.bincount(got[:, 0].astype(np.int64), minlength=1)
             at = np.flatnonzero(masks)
-            hits = np.array([masks[at[(at >> k) & 1 == 1]].sum() for k in range(len(self.languages))], dtype=float)
+            hits = np.array([masks[at[(at >> k) & 1 == 1]].sum() for k in range(n)], dtype=float)
         else:
-            got = self.containing(codes)
-            hits = np.array([np.count_nonzero(got & got.dtype.type(1 << k)) for k in range(len(self.languages))], dtype=float)
-        return np.maximum(0.0, (hits - total * self.false) / np.maximum(1e-9, 1 - self.false))
+            hits = np.array([np.count_nonzero(self.of(got, k)) for k in range(n)], dtype=float)
+        return np.maximum(0.0, (hits - len(codes) * self.false) / np.maximum(1e-9, 1 - self.false))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """A language and a score from 0 to 1: its corrected count's lead, as a part of all n-grams' claims."""
@@ -88,13 +97,14 @@ class Filter:
         return self.languages[best], float(c[best] / c.sum()) if c.sum() > 0 else 0.0
 
 
-def learn(docs: DataFrame, positions: int = POSITIONS) -> Filter:
+def learn(docs: DataFrame, positions: int | None = None) -> Filter:
     """A filter of the n-grams of ``docs`` (``text``, ``lang``; rows with a null in either are left out).
 
     N-grams are counted per language over all rows: each task adds up what it has seen and gives partial
     counts, which are combined by language and n-gram.  The n-grams a language contains are spread over
-    the filter's positions, whose number is fixed, and combined by ``bit_or``; only the filter (at most
-    ``positions`` rows) and the list of languages (64 at most) reach the driver.
+    the filter's positions and combined by ``bit_or``.  There are as many positions as those n-grams ask
+    for, within ``POSITIONS`` and ``FILTER_BYTES``; each holds a bit per language, in as many words as
+    the languages need.  Only the filter and the list of languages with their sizes reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,33 +143,39 @@ def learn(docs: DataFrame, positions: int = POSITIONS) -> Filter:
 
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     counted = cut(rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r.lang for r in sizes.limit(65).collect())
-    if not languages:
-        return Filter(np.zeros(positions, np.uint8), [])
-    if len(languages) > 64:
-        raise ValueError("a filter holds 64 languages at most")
-    bit = {lang: k for k, lang in enumerate(languages)}
-    bits = F.create_map(*(x for lang, k in bit.items() for x in (F.lit(lang), F.lit(1 << k if k < 63 else -(2**63)))))
-    rate = F.col("n") / F.col("total")
-    rated = counted.join(F.broadcast(sizes), "lang").select("gram", "n", rate.alias("rate"), bits[F.col("lang")].alias("bit"))
-    top = F.max("rate").alias("top")
-    per_gram = rated.groupBy("gram").agg(top, F.collect_list(F.struct("n", "rate", "bit")).alias("of"))  # at most 64 entries
-    has = F.filter("of", lambda x: (x["n"] >= LEAST_COUNT) & (x["rate"] >= LEAST_PART * F.col("top")))
-    masks = per_gram.select("gram", F.aggregate(has, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask")).where("mask <> 0")
+    sizes = sorted((r.lang, r.total) for r in counted.groupBy("lang").agg(F.sum("n").alias("total")).collect())
+    languages = [lang for lang, _ in sizes]
+    n = len(languages)
+    if not n:
+        return Filter(np.zeros(POSITIONS[0], np.uint8), [])
+    kind = next(t for t in (np.uint8, np.uint16, np.uint64) if n <= np.iinfo(t).bits or t is np.uint64)
+    words = -(-n // 64)
+    # one row per language: the same bound as the list that reaches the driver
+    known = docs.sparkSession.createDataFrame([(lang, total, k // 64, 1 << k % 64 if k % 64 < 63 else -(2**63)) for k, (lang, total) in enumerate(sizes)], "lang string, total long, word int, bit long")
+    rated = counted.join(F.broadcast(known), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    per_gram = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("n", "rate", "word", "bit")).alias("of"))  # one entry per language
+    has = F.filter("of", lambda x: (x["n"] >= LEAST_COUNT) & (x["rate"] >= LEAST_RATE) & (x["rate"] >= LEAST_PART * F.col("top")))
+    per_word = per_gram.select("gram", has.alias("has")).where(F.size("has") > 0)
+    per_word = per_word.select("gram", "has", F.explode(F.sequence(F.lit(0), F.lit(words - 1))).alias("word")) if words > 1 else per_word.withColumn("word", F.lit(0))
+    own = F.filter("has", lambda x: x["word"] == F.col("word"))
+    masks = cut(per_word.select("gram", "word", F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask")).where("mask <> 0"))
+    if positions is None:
+        positions = POSITIONS[0]
+        while positions < min(POSITIONS[1], SPARE * masks.select("gram").count()):
+            positions *= 2
+        while positions > POSITIONS[0] and positions * words * np.dtype(kind).itemsize > FILTER_BYTES:
+            positions //= 2
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mask = b.column(1).to_numpy()
             for p in places(b.column(0).to_numpy().astype(np.uint32), positions):
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(mask)], names=["p", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), b.column(1), b.column(2)], names=["p", "word", "mask"])
 
-    table = np.zeros(positions, dtype=np.int64)
-    filled = masks.mapInArrow(spread, "p long, mask long").groupBy("p").agg(F.bit_or("mask").alias("mask"))
+    filled = masks.mapInArrow(spread, "p long, word int, mask long").groupBy("p", "word").agg(F.bit_or("mask").alias("mask"))
     got = filled.toArrow()
-    table[got.column("p").to_numpy()] = got.column("mask").to_numpy()
-    kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-    return Filter(table.view(np.uint64).astype(kind), languages)
+    table = np.zeros((positions, words), dtype=kind)
+    table[got.column("p").to_numpy(), got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64).astype(kind)
+    return Filter(table, languages)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -187,7 +203,9 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if
     there is nothing to learn from; a text whose n-grams no language contains gets the first language
-    and score 0; a null id belongs to the fold of the empty text.
+    and score 0; of languages with equal counts the first by name is taken; a null id belongs to the fold
+    of the empty text; rows that repeat an id or a text are rows of their own, each learned from; very
+    long texts are read whole; an empty table gives an empty result; other columns are ignored.
     """
     docs = read_table(spark, sf_dir, "documents")
     model = learn(docs.where(fold_of(F.col("doc_id")) != 1))

@@ -122,26 +122,28 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
     held_out: list[np.ndarray] = field(default_factory=list)
 
-    def fit(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, known: np.ndarray, folds: np.ndarray) -> Chain:
+    def fit(self, rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, known: np.ndarray, folds: np.ndarray, run=map) -> Chain:
         """``labels`` and ``known``: documents x categories.  Earlier probabilities that a later model is
-        trained with come from models that have not seen the document (one per fold)."""
+        trained with come from models that have not seen the document (one per fold).  ``run(f, items)``
+        maps a category's fits, which do not depend on each other."""
         n, width = len(labels), len(self.vocabulary)
         extra = np.zeros((n, 0))
         for c in range(len(self.categories)):
             y, ok = labels[:, c].astype(float), known[:, c]
 
-            def fit_on(mask, y=y, extra=extra):
+            def fit_without(fold, y=y, ok=ok, extra=extra):
+                mask = ok & (folds != fold)
                 at = np.flatnonzero(mask)
                 new = np.full(n, -1)
                 new[at] = np.arange(len(at))
                 own = mask[rows] if len(rows) else np.zeros(0, bool)
                 return fit_logistic(new[rows[own]], cols[own], extra[at], y[at], width)
 
-            self.weights.append(fit_on(ok))
+            whole, *parts = run(fit_without, [-1, *range(FOLDS)])
+            self.weights.append(whole)
             out = np.zeros(n)
-            for f in range(FOLDS):
-                part = predict(fit_on(ok & (folds != f)), rows, cols, extra, n)
-                out[folds == f] = part[folds == f]
+            for f, w in enumerate(parts):
+                out[folds == f] = predict(w, rows, cols, extra, n)[folds == f]
             self.held_out.append(out)
             extra = np.column_stack([extra, out])
         return self
@@ -171,19 +173,37 @@ class Chain:
         return extra
 
 
+def on_executors(spark: SparkSession):
+    """``map`` over a few items, one task each, of a function that gives an array of doubles."""
+
+    def run(f, items: list) -> list[np.ndarray]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([f(items[i]).tolist()], pa.list_(pa.float64()))], names=["id", "w"])
+
+        got = spark.range(0, len(items), 1, len(items)).mapInArrow(each, "id long, w array<double>").collect()
+        return [np.array(r.w) for r in sorted(got, key=lambda r: r.id)]
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE) -> Chain:
     """Fit a chain on at most ``sample`` labelled documents.
 
-    The sampled labels (ids and bits, bounded by ``sample``) are broadcast to the documents; the sampled
-    documents are written once.  Features are counted per category by Spark over that sample, the most
-    telling ones by chi-square are kept, and the fit itself, some thousand features wide, runs on the
-    driver.  Labels that repeat a document are joined by "any"; null labels are not learned from.
+    The sampled labels (ids and bits, bounded by ``sample``) are broadcast to the documents; of documents
+    that repeat an id the one whose text has the smallest hash, then the smallest text, is learned from
+    (a null text only if there is no other), so at most ``sample`` rows are written and gathered.  Features are counted per category by Spark over that sample, the most
+    telling ones by chi-square are kept, and the fits, some thousand features wide, each run in a task
+    that is sent the sample's features.  Labels that repeat a document are joined by "any"; null labels are not learned from.
     """
     names = [c for c, _ in chain]
     one = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(*(F.max(F.expr(rule).cast("int")).alias(c) for c, rule in chain))
     one = one.where(" OR ".join(f"{c} IS NOT NULL" for c in names)).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("__d"), F.col("text").alias("__t"))
-    rows = cut(texts.join(F.broadcast(one), F.col("__d") == F.col("__id")).select("__d", "__t", *names))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__d"), F.col("text").alias("__t"), F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t")).alias("__o"))
+    texts = texts.withColumn("__o", F.when(F.col("__t").isNotNull(), F.col("__o")))
+    told = texts.join(F.broadcast(one), F.col("__d") == F.col("__id")).groupBy("__d").agg(F.min("__o").alias("__o"), *(F.first(c).alias(c) for c in names))
+    rows = cut(told.select("__d", F.col("__o.t").alias("__t"), *names))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, counts = np.zeros((len(names), 2), dtype=np.int64), [(Counter(), Counter()) for _ in names]
@@ -230,12 +250,12 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, sample: int = SAMPLE)
     # bounded: at most `sample` rows of at most len(chain) * FEATURES small integers
     got = rows.mapInArrow(places, "d long, at array<int>, " + ", ".join(f"{c} int" for c in names)).orderBy("d", *names).collect()
     lens = [len(r["at"]) for r in got]
-    r = np.repeat(np.arange(len(got)), lens).astype(np.int64)
-    c = np.array([x for row in got for x in row["at"]], dtype=np.int64)
+    r = np.repeat(np.arange(len(got), dtype=np.int32), lens)
+    c = np.array([x for row in got for x in row["at"]], dtype=np.int16)
     y = np.array([[row[n] or 0 for n in names] for row in got]).reshape(len(got), len(names))
     known = np.array([[row[n] is not None for n in names] for row in got], dtype=bool).reshape(len(got), len(names))
     folds = np.array([hash((row["d"], 11)) % FOLDS for row in got], dtype=np.int64)
-    return model.fit(r, c, y, known, folds)
+    return model.fit(r, c, y, known, folds, on_executors(docs.sparkSession))
 
 
 def scorer(model: Chain):
@@ -254,8 +274,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """One row per input row: ``doc_id, low_quality, toxic`` (probabilities) and ``rejected``.
 
     Whole texts are scored in one narrow pass.  Defined cases: a null text counts as empty and gets the
-    probabilities of a text without features; without labels of both kinds no document is rejected;
-    repeated rows and null ids are rows of their own; an empty table gives an empty result.
+    probabilities of a text without features; without labels of both kinds no document is rejected, nor
+    is one whose probability equals the threshold; repeated rows and null ids are rows of their own; very
+    long texts are scored whole; an empty table gives an empty result; other columns are ignored.
     """
     score = scorer(train(docs, labels))
     src = docs.select(F.col("doc_id"), score(F.coalesce("text", F.lit(""))).alias("p"))

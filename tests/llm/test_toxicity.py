@@ -1,8 +1,9 @@
 import random
+import zlib
 
 import numpy as np
 
-from helixframe.llm.toxicity import FOLDS, Chain, drop_toxic, fit_logistic, predict, toxicity
+from helixframe.llm.toxicity import CHAIN, FEATURES, FOLDS, Chain, drop_toxic, features, fit_logistic, op8_toxicity, predict, toxicity, train
 
 
 def test_linear_model_finds_the_telling_feature():
@@ -68,3 +69,78 @@ def test_nothing_to_learn_from(spark):
     assert not any(r.rejected for r in toxicity(df, lab).collect())
     assert not any(r.rejected for r in toxicity(df, lab.limit(0)).collect())
     assert toxicity(df.limit(0), lab).count() == 0
+
+
+def plain_fit(x, y, l2=0.5):
+    """Newton's method with the whole matrix of second derivatives, to the end."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge, w = np.append(np.full(x.shape[1] - 1, l2), 1e-6), np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def plain_chain(docs, labels):
+    """The whole operator over lists: features, choice by chi-square, folds, chain; probabilities per document."""
+    known = {}
+    for d, q, t in labels:
+        if d is not None:
+            old = known.get(d, (None, None))
+            known[d] = tuple(max((x for x in (a, b) if x is not None), default=None) for a, b in zip(old, (None if q is None else int(q == 0), None if t is None else int(t == 1)), strict=True))
+    rows = [(d, features(t), known[d]) for d, t in sorted(docs.items()) if d in known and known[d] != (None, None)]
+    wanted = set()
+    for k in range(2):
+        own = [(f, y[k]) for _, f, y in rows if y[k] is not None]
+        pos, neg = sum(y for _, y in own), sum(1 - y for _, y in own)
+        scored = []
+        for f in {f for fs, _ in own for f in fs}:
+            a, b = sum(y for fs, y in own if f in fs), sum(1 - y for fs, y in own if f in fs)
+            if 3 <= a + b < pos + neg and pos and neg:
+                top = float(a) * (neg - b) - float(b) * (pos - a)
+                scored.append((-(top * top * (pos + neg) / (float(a + b) * (pos + neg - a - b) * pos * neg)), f))
+        wanted |= {f for _, f in sorted(scored)[:FEATURES]}
+    names = sorted(wanted)
+    matrix = lambda sets: np.array([[f in s for f in names] for s in sets], float).reshape(len(sets), len(names))
+    x, every = matrix([f for _, f, _ in rows]), matrix([features(t) for _, t in sorted(docs.items())])
+    folds = np.array([hash((d, 11)) % FOLDS for d, _, _ in rows])
+    apply = lambda w, m: 1 / (1 + np.exp(-np.clip(m @ w[:-1] + w[-1], -30, 30)))
+    for k in range(2):
+        ok, y = np.array([r[2][k] is not None for r in rows]), np.array([r[2][k] or 0 for r in rows], float)
+        out = np.zeros(len(rows))
+        for f in range(FOLDS):
+            out[folds == f] = apply(plain_fit(x[ok & (folds != f)], y[ok & (folds != f)]), x[folds == f])
+        own = apply(plain_fit(x[ok], y[ok]), every)
+        x, every = np.column_stack([x, out]), np.column_stack([every, own])
+    return {d: tuple(every[i, -2:]) for i, d in enumerate(sorted(docs))}
+
+
+def test_query_matches_the_plain_chain(spark, tmp_path):
+    rng = random.Random(4)
+    words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)], ["idiot", "scum"]
+    docs, labels = {}, []
+    for i in range(240):
+        toxic, poor = rng.random() < 0.3, rng.random() < 0.3
+        docs[i] = " ".join(rng.choices(words, k=12) + [rng.choice(bad)] * (toxic and rng.random() < 0.9) + ["junk"] * poor)
+        if zlib.crc32(str(i).encode()) % 4:
+            labels.append((i, None if i % 17 == 0 else int(not poor), None if i % 19 == 0 else int(toxic)))
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = plain_chain(docs, labels)
+    got = op8_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert np.allclose([r.low_quality, r.toxic], want[r.doc_id], atol=0.02), r
+        assert r.rejected == (r.toxic > 0.5)
+
+
+def test_copies_of_a_labelled_id_are_learned_from_once(spark, monkeypatch):
+    docs, labels = sample(60)
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    many = df.where("doc_id = 5").crossJoin(spark.range(4000)).selectExpr("doc_id", "concat(text, ' x', id % 50) AS text")
+    lab = spark.createDataFrame([*labels, (5, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = Chain.fit
+    monkeypatch.setattr(Chain, "fit", lambda self, r, c, y, *rest: seen.append(len(y)) or fit(self, r, c, y, *rest))
+    train(df.unionByName(many).unionByName(df.where("doc_id = 5").selectExpr("doc_id", "cast(null AS string) AS text")), lab)
+    assert seen == [len({d for d, _, _ in labels} | {5})] and len(CHAIN) == 2
