@@ -7,13 +7,33 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def _folder(df: DataFrame) -> None:
+    """Set the checkpoint folder that the session names; on one machine a folder of this process will do."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that the session names and go on from there.
 
-    A folder of this process is set only where the session names none, as in tests on one machine.
+    A folder of this process is set only where the session names none and all tasks run on this machine;
+    elsewhere a missing name is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    _folder(df)
     return df.checkpoint(eager=True)
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete what ``cut`` wrote for frames that nothing reads any more."""
+    for df in written:
+        rdd = df._jdf.queryExecution().analyzed().rdd()
+        file = rdd.getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
