@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import cut
+from ..operators.storage import cut, forget
 
-__all__ = ["cut", "connected", "read_table", "shuffle_width"]
+__all__ = ["cut", "connected", "forget", "keep_rows", "own_key", "read_table", "shuffle_width"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def own_key(doc_id: Column, text: Column) -> Column:
+    """What a row is known by: its id, or that it has none, and 128 bits of its text.  Rows with an id come first."""
+    doc_id = doc_id.cast("long")
+    return F.struct(
+        doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"),
+        F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit("second")).alias("b"),
+    )
+
+
+def keep_rows(docs: DataFrame, key: Column, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``keep`` (``own``, and ``n``, the number of rows that have it), one for each.
+
+    Keys of one row need no more than a semi-join; only rows that share a key are looked at again.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("own"))
+    out = packed.join(keep.where("n = 1").select("own"), "own", "left_semi")
+    more = keep.where("n > 1").select("own")
+    if not more.isEmpty():
+        out = out.unionByName(packed.join(more, "own", "left_semi").dropDuplicates(["own"]))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -27,10 +49,11 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: ``(a, b)`` long pairs -> ``(node, root)``.
 
     ``root`` is the smallest node of the component.  Alternating large-star and small-star
-    contraction: each half-round takes a minimum per node (combined before the shuffle) and joins it
-    back to the edges, so that no neighbourhood is ever gathered into one row, and a hub's edges can be
-    split by adaptive execution.  Self-loops and null ends are ignored; an empty table gives an empty
-    result.  Each round is written to the checkpoint folder, which bounds the lineage.
+    contraction: each half-round takes a minimum per node (combined before the shuffle), writes it, and
+    joins it back to the edges.  Both sides of these joins are scans, so that adaptive execution can
+    divide a hub's edges, and no neighbourhood is ever gathered into one row.  Self-loops and null ends
+    are ignored; an empty table gives an empty result.  Each step is written to the checkpoint folder,
+    which bounds the lineage, and deleted when the next round is written.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")
@@ -44,16 +67,16 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        big = big.where("a <> b").distinct()
+        big = cut(big.where("a <> b").distinct())
         # small-star: the neighbours below u, and u, move to the smallest of them
-        least = big.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(big.groupBy("a").agg(F.min("b").alias("m")))
         small = big.join(least, "a").select(
             F.explode(F.array(F.struct(F.col("a").alias("x")), F.struct(F.col("b").alias("x")))).alias("s"), "m"
         )
-        small = small.select(F.col("s.x").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = cut(small)
+        old, e = e, cut(small.select(F.col("s.x").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        forget(old, low, big, least)
         after = _signature(e)
         if after == before:
             break

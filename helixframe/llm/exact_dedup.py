@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import cut, read_table
+from ._shared import cut, keep_rows, own_key, read_table
 
 #: Characters that do not count when two texts are compared.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -21,6 +21,36 @@ def normalised(text: Column) -> Column:
     return out
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: ``doc_id, sha, own, rep, c`` (its key, the key order of its group's representative, the group's size)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.length(text).alias("n"), own_key(F.col(id_col), F.col(text_col)).alias("own"))
+    src = src.withColumn("h", F.md5("norm"))
+    rows = cut(src.select("doc_id", "h", F.sha2("norm", 256).alias("sha"), "n", "own"))
+
+    # the longest text, then the smallest id, then the text's hash; a missing id comes last
+    order = F.struct((-F.col("n")).alias("n"), F.col("own.none").alias("none"), F.col("own.id").alias("id"), F.col("own.a").alias("a"), F.col("own.b").alias("b"))
+    # written, so that the joins below are joins of two scans, whose large partitions can be split
+    per_hash = cut(rows.groupBy("h").agg(F.count("*").alias("c"), F.min(order).alias("rep")))
+    many = per_hash.where("c > 1").withColumn("salts", F.ceil(F.col("c") / ROWS_PER_SALT).cast("int"))
+
+    # compare the bytes of each row with those of its representative; rows are dealt to salts by number, as ids may repeat
+    own = src.withColumn("at", F.monotonically_increasing_id()).join(many.select("h", "salts"), "h")
+    own = own.select("h", F.pmod(F.col("at"), F.col("salts")).cast("int").alias("salt"), "own", "norm")
+    # the representatives are met by hash and key, so no group's rows come together here
+    reps = src.withColumn("rep", order).join(many.select("h", "rep", "salts"), ["h", "rep"]).groupBy("h", "salts").agg(F.min("norm").alias("rep_norm"))
+    reps = reps.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rep_norm")
+    differ = own.join(reps, ["h", "salt"]).where("norm <> rep_norm")
+    differ = cut(differ.select("own", "h", F.concat(F.lit("="), "norm").alias("alt")).distinct())
+    if differ.isEmpty():
+        out = rows.join(per_hash, "h")
+    else:
+        keyed = cut(rows.join(differ, ["h", "own"], "left").withColumn("alt", F.coalesce("alt", F.lit(""))))
+        groups = cut(keyed.groupBy("h", "alt").agg(F.count("*").alias("c"), F.min(order).alias("rep")))
+        out = keyed.join(groups, ["h", "alt"])
+    return out.select("doc_id", "sha", "own", "rep", "c")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -33,57 +63,28 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     aggregation per hash is combined before the shuffle.  For the comparison, texts are shuffled once,
     to their hash and a salt, and only those of hashes that occur more than once; each salt bucket
     gets a copy of the representative, one per ``ROWS_PER_SALT`` rows.  A group that holds a third of
-    all rows is therefore spread over as many tasks as its size asks for.
+    all rows is therefore spread over as many tasks as its size asks for, whatever its rows' ids.
 
     Defined cases: a null text equals an empty one (and one of white space only); repeated rows with
-    one id are rows of their own; a null id is kept as it is and loses to any other id in a tie; an
-    empty table gives an empty result; other columns are ignored, whatever their names.
+    one id are rows of their own, kept if their id is the one that stays; a null id is kept as it is and
+    loses to any other id in a tie; an empty table gives an empty result; very long texts are hashed and
+    compared whole; other columns are ignored, whatever their names.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    norm = normalised(F.col("text"))
-    hashed = src.select("doc_id", F.md5(norm).alias("h"), F.sha2(norm, 256).alias("sha"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    rows = cut(hashed)
-
-    order = F.struct(F.col("n"), -F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)))
-    # written, so that the joins below are joins of two scans, whose large partitions can be split
-    per_hash = cut(rows.groupBy("h").agg(F.count("*").alias("c"), F.max_by("doc_id", order).alias("rep"), F.max("n").alias("rep_n")))
-    many = per_hash.where("c > 1").withColumn("salts", F.ceil(F.col("c") / ROWS_PER_SALT).cast("int"))
-
-    # compare the bytes of each row with those of its representative
-    texts = src.select("doc_id", norm.alias("norm"), F.md5(norm).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    keyed_reps = many.select(F.col("h").alias("rh"), F.col("rep"), "rep_n", F.col("salts").alias("r_salts"))
-    own = texts.join(many.select("h", "salts"), "h").select("h", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id", "norm")
-    # the representatives are met by hash and id, so no group's rows come together here
-    named = (F.col("h") == F.col("rh")) & F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("n") == F.col("rep_n"))
-    reps = texts.join(keyed_reps, named).select(
-        "h", F.explode(F.sequence(F.lit(0), F.col("r_salts") - 1)).alias("salt"), F.col("norm").alias("rep_norm")
-    )
-    differ = own.join(reps.dropDuplicates(["h", "salt"]), ["h", "salt"]).where("norm <> rep_norm")
-    differ = cut(differ.select("doc_id", "h", F.concat(F.lit("="), "norm").alias("alt")).distinct())
-    if differ.isEmpty():
-        groups = per_hash.select("h", "c", "rep")
-        out = rows.join(groups, "h")
-    else:
-        keyed = rows.alias("r").join(differ.alias("d"), F.expr("r.h = d.h AND r.doc_id <=> d.doc_id"), "left").select(
-            "r.doc_id", "r.h", "r.sha", "r.n", F.coalesce("d.alt", F.lit("")).alias("alt")
-        )
-        groups = keyed.groupBy("h", "alt").agg(F.count("*").alias("c"), F.max_by("doc_id", order).alias("rep"))
-        out = keyed.join(groups, ["h", "alt"])
-    return out.select(
-        "doc_id", F.col("rep").alias("keep_id"), F.col("c").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("rep")).alias("kept"), F.col("sha").alias("text_sha256"),
-    )
+    rep = F.when(~F.col("rep.none"), F.col("rep.id"))
+    out = _grouped(docs, id_col, text_col)
+    return out.select("doc_id", rep.alias("keep_id"), F.col("c").alias("group_size"), F.col("doc_id").eqNullSafe(rep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that another row of their group replaces; columns as they are.
+    """``docs`` with one row of each group of equal texts; columns as they are, whatever their names.
 
-    Of rows that repeat id and normalised text, one stays.
+    The row with the longest original text stays, then the one with the smallest id (one without an id
+    last), then by the text's hash; of rows that are equal in id and text any one stays.  Rows are known
+    by id and text, so rows that repeat an id, or have none, are told apart.
     """
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__own", F.sha2(normalised(F.col(text_col)), 256))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    return marked.join(keep, match, "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
+    same = " AND ".join(f"own.{c} = rep.{c}" for c in ("none", "id", "a", "b"))
+    keep = cut(_grouped(docs, id_col, text_col).where(same).groupBy("own").agg(F.count("*").alias("n")))
+    return keep_rows(docs, own_key(F.col(id_col), F.col(text_col)), keep)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import connected, cut, read_table
+from ._shared import connected, cut, keep_rows, own_key, read_table
 
 SEED = 42
 #: Fingerprints the shared top of the tree is fitted on, at most.  Every fingerprint is then placed.
@@ -236,8 +236,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_doc = cut(fingerprints(docs, id_col, text_col, width))
     points = cut(per_doc.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = near_groups(points, reach)
-    rooted = points.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the join is one of two scans, whose large partitions can be split
+    rooted = cut(points.join(groups, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    low = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = rooted.join(low, "root").select("fp", "component_id")
     return per_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -246,23 +247,23 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """``docs`` with one row of each near-duplicate group, the one with the smallest id.
 
     A row is known by its id and 128 bits of its text: rows that repeat an id, or have none, stay if their
-    groups differ.  A row without an id gives way to one that has one; of equal rows one stays.  Columns
-    are as they are.
+    groups differ.  A row without an id gives way to one that has one; of rows that are equal in id and
+    text any one stays.  The rows are shuffled once, to meet the keys of those that stay; columns are as
+    they are, whatever their names.
     """
-    own = F.struct(F.col(id_col).cast("long").isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("a"), F.xxhash64(text_col, F.lit("second")).alias("b"))
+    key = own_key(F.col(id_col), F.col(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, type=pa.int64())], names=["own", "fp"])
 
-    rows = docs.select(own.alias("own"), F.col(text_col).alias("text")).mapInArrow(run, "own struct<none:boolean,id:long,a:long,b:long>, fp long")
+    rows = cut(docs.select(key.alias("own"), F.col(text_col).alias("text")).mapInArrow(run, "own struct<none:boolean,id:long,a:long,b:long>, fp long"))
     points = cut(rows.groupBy("fp").agg(F.min("own").alias("first")))
     rooted = points.join(near_groups(points), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.a").alias("__a"), F.col("first.b").alias("__b"))
-    marked = docs.withColumn("__own", own)
-    same = F.col("__own.id").eqNullSafe(F.col("__id")) & (F.col("__own.a") == F.col("__a")) & (F.col("__own.b") == F.col("__b"))
-    return marked.join(keep, same, "left_semi").dropDuplicates(["__own"]).drop("__own")
+    first = rooted.groupBy("root").agg(F.min("first").alias("own")).select("own")
+    keep = cut(first.join(rows.groupBy("own").agg(F.count("*").alias("n")), "own"))
+    return keep_rows(docs, key, keep)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

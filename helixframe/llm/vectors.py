@@ -155,7 +155,9 @@ def near_vectors(
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
     named = reps.select("node", "a", "b", "c", "first").join(groups, "node", "left").join(degree, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    low = named.groupBy("top").agg(F.min("first").alias("component"))
+    # written, so that the join is one of two scans, whose large partitions can be split
+    named = cut(named)
+    low = cut(named.groupBy("top").agg(F.min("first").alias("component")))
     named = named.join(low, "top").select(F.col("a").alias("ra"), F.col("b").alias("rb"), "component", (F.col("c") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = rows.join(named, (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")) & F.col("fine"), "left")
     own = F.when(F.col("ra").isNull(), F.col("vec_id")).otherwise(F.col("component"))

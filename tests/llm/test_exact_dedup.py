@@ -40,3 +40,24 @@ def test_many_copies_are_salted(spark):
     df = spark.range(5000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot text', concat('t', id % 7)) AS text")
     got = exact_groups(df).groupBy("keep_id").count().collect()
     assert sum(r["count"] for r in got) == 5000 and len(got) == 8
+
+
+def test_drop_keeps_rows_that_share_an_id_or_have_none(spark):
+    rows = [(1, "ab", "p"), (1, "a b", "q"), (1, "a   b", "r"), (2, "other", "s"), (2, "different", "t"), (None, "x y", None), (None, "x  y", "u"), (3, "x y", "v")]
+    rows += [(None, f"text {i}", "w") for i in range(1000)] + [(9, "twice", "x"), (9, "twice", "y")]
+    df = spark.createDataFrame(rows, "own long, row string, n string").repartition(3)
+    got = drop_exact(df, "own", "row")
+    assert got.columns == df.columns
+    want = [(1, "a   b"), (2, "other"), (2, "different"), (None, "x  y"), (9, "twice")] + [(None, f"text {i}") for i in range(1000)]
+    assert sorted(((r.own, r.row) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_repeated_rows_are_dealt_to_many_salts(spark, monkeypatch):
+    """One row repeated: its copies meet the representative in parts, whatever their ids."""
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_SALT", 64)
+    seen = []
+    cut = exact_dedup.cut
+    monkeypatch.setattr(exact_dedup, "cut", lambda df: seen.append(df) or cut(df))
+    df = spark.range(3000).selectExpr("cast(null AS long) AS doc_id", "'same text' AS text").repartition(4)
+    assert {(r.group_size, r.kept) for r in exact_groups(df).collect()} == {(3000, True)}
+    assert drop_exact(df).count() == 1

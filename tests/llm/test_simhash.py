@@ -3,7 +3,8 @@ import random
 import numpy as np
 import xxhash
 
-from helixframe.llm.simhash import build, close_pairs, fingerprint, near_groups, route, simhash_groups
+from helixframe.llm import _shared
+from helixframe.llm.simhash import build, close_pairs, drop_near, fingerprint, near_groups, route, simhash_groups
 
 
 def plain_fingerprint(text):
@@ -94,3 +95,38 @@ def test_rows(spark):
     assert by[1].fingerprint == "0" * 16 and by[2].component_id == 1
     assert by[None].component_id is None
     assert simhash_groups(df.limit(0)).count() == 0
+
+
+def test_stars_are_divided(spark, monkeypatch):
+    """A hub's edges are split between tasks in every join of a round, and the components are right."""
+    plans = []
+    cut = _shared.cut
+
+    def noted(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(_shared, "cut", noted)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        n = 300_000
+        edges = spark.range(1, n).selectExpr("id AS a", "if(id % 1000 = 7, id - 1, 0L) AS b").unionAll(spark.range(2 * n, 2 * n + 5).selectExpr("id AS a", "id + 1 AS b"))
+        got = _shared.connected(edges)
+        sizes = {r.root: r["count"] for r in got.groupBy("root").count().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sizes == {0: n, 2 * n: 6}
+    assert any("skewed" in p for p in plans if "Join" in p)
+
+
+def test_drop_keeps_rows_without_id(spark):
+    rows = [(None, f"{i} " + " ".join(f"{chr(97 + (i * 7 + j) % 26)}{i * j}" for j in range(30)), "x") for i in range(300)] + [(5, "same words here", "x"), (None, "same words here", "x"), (5, "same words here", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own string")
+    got = drop_near(df).collect()
+    assert len(got) == 301 and len({r.text for r in got}) == 301
+    assert [r.doc_id for r in got if r.text == "same words here"] == [5]
