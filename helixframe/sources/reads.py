@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators.align import Scheme
 
 READ = "name string, seq string, qual string"
 #: Rows in a batch that a file parser hands over.
@@ -25,17 +27,17 @@ class MalformedFile(ValueError):
 
 
 def parse_fastq(data: bytes) -> Iterator[tuple[str, str, str]]:
-    """Records of a FASTQ file: ``@name``, bases on one or more lines up to ``+``, qualities on one line."""
+    """Records of a FASTQ file: ``@name`` (the whole line), bases on one or more lines up to ``+``, qualities on one line."""
     lines = data.decode("latin-1").split("\n")
     at = 0
     while at < len(lines):
-        line = lines[at].strip()
+        line = lines[at].rstrip("\r")
         at += 1
-        if not line:
+        if not line.strip():
             continue
         if line[0] != "@":
             raise MalformedFile(f"line {at}: expected '@'")
-        name, bases = line[1:].split(maxsplit=1)[0] if line[1:].strip() else "", []
+        name, bases = line[1:], []
         while True:
             if at >= len(lines):
                 raise MalformedFile(f"line {at}: record without '+'")
@@ -50,34 +52,101 @@ def parse_fastq(data: bytes) -> Iterator[tuple[str, str, str]]:
         at += 1
 
 
-def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """One task per file; a file's records leave it in batches.  Files end in .gz or are plain."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
+def _pieces(pieces: list[str], whole: bool) -> tuple[list[str], list[tuple[str, str, str]], str | None]:
+    """Records of a file's part that was split where a line begins with ``@``: pieces before the first whole
+    record, the records, and what is left of a record at the end.
+
+    A piece whose qualities are shorter than its bases ends before a quality line that begins with ``@`` and
+    goes on in the next piece.  ``whole`` says that the part begins the file.
+    """
+    head: list[str] = []
+    out: list[tuple[str, str, str]] = []
+    held = None
+    for piece in pieces:
+        text = piece if held is None else held + "\n@" + piece
+        lines = [x.rstrip("\r") for x in text.split("\n")]
+        plus = next((k for k in range(1, len(lines)) if lines[k].startswith("+")), None)
+        bases = "".join("".join(lines[1:plus]).split()) if plus else ""
+        qual = lines[plus + 1] if plus and plus + 1 < len(lines) else None
+        if plus and qual is not None and len(qual) >= len(bases):
+            out.append((lines[0], bases, qual))
+            held = None
+        elif plus:
+            held = text
+        elif not out and held is None and not whole:
+            head.append(piece)
+        elif text.strip():
+            raise MalformedFile(f"record without '+': {text[:40]!r}")
+    return head, out, held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fastq(spark: SparkSession, path: str) -> DataFrame:
+    """``name, seq, qual`` of FASTQ files, plain or gzip; a name is its whole line.
+
+    Plain files are read in splits of the session's ``spark.sql.files.maxPartitionBytes``: pieces begin where
+    a line begins with ``@``, which a quality line may do too, so the ends of neighbouring splits are put
+    together by file and offset (a second pass that hands over at most two pieces of each split).  A gzip
+    file is one task's work.
+    """
+    rows = spark.read.option("lineSep", "\n@").text(path).select(F.col("value").cast("binary").alias("value"), "_metadata.file_path", "_metadata.file_block_start", "_metadata.file_block_length")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, list[str], bool]]:
+        """The pieces of each split, in lists, with a mark on the last list; a list is as long as a batch."""
+        at, held = None, []
         for b in batches:
-            for data in b.column(0).to_pylist():
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                rows: list[tuple] = []
-                for row in parse(data):
-                    rows.append(row)
-                    if len(rows) == BATCH:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kind)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kind)
+            for value, *key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at is not None and key != at:
+                    yield (*at, held, True)
+                    held = []
+                at = key
+                held.append(value.decode("latin-1"))
+                if len(held) >= BATCH:
+                    yield (*at, held, False)
+                    held = []
+        if at is not None:
+            yield (*at, held, True)
+
+    def read(batches: Iterator[pa.RecordBatch], edges: bool):
+        before, left, began = None, None, False
+        for file, start, size, pieces, last in parts(batches):
+            if before != (file, start):
+                before, left, began = (file, start), None, False
+                if start == 0 and pieces:
+                    first = pieces[0].lstrip("\n\r")
+                    if first.strip() and first[0] != "@":
+                        raise MalformedFile(f"{file}: expected '@'")
+                    pieces = [first[1:], *pieces[1:]] if first.strip() else pieces[1:]
+            if left is not None:
+                pieces = [left + "\n@" + pieces[0], *pieces[1:]] if pieces else [left]
+            head, out, left = _pieces(pieces, start == 0 or began)
+            began = began or bool(out) or left is not None
+            if not edges:
+                yield out
+            else:
+                if head:
+                    yield [(file, start, "head", "\n@".join(head))]
+                if last and left is not None:
+                    yield [(file, start + size, "tail", left)]
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in read(batches, False):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["name", "seq", "qual"])
 
-    kind = to_arrow_schema(StructType.fromDDL(schema))
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in read(batches, True):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out]), pa.array([r[3] for r in out])], names=["file", "at", "side", "value"])
 
+    # at most two rows for each split; a head goes with the tail before it in the file, splits between may begin no piece
+    edge = rows.mapInArrow(ends, "file string, at long, side string, value string").withColumn("k", F.when(F.col("side") == "tail", 0).otherwise(1))
+    edge = edge.withColumn("g", F.sum(1 - F.col("k")).over(W.partitionBy("file").orderBy("at", "k")))
+    both = edge.groupBy("file", "g").agg(F.array_sort(F.collect_list(F.struct("at", "k", "value"))).alias("v")).select(F.array_join(F.transform("v", lambda x: x["value"]), "\n@").alias("value"))
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``name, seq, qual`` of FASTQ files, plain or gzip; files are read in parallel."""
-    return _parsed(spark, path, parse_fastq, READ)
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [r for v in b.column(0).to_pylist() for r in parse_fastq(("@" + v).encode("latin-1", "replace"))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(3)], names=["name", "seq", "qual"])
+
+    return rows.mapInArrow(records, READ).unionByName(both.mapInArrow(mend, READ))
 
 
 # ---------------------------------------------------------------- lines
@@ -102,8 +171,6 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 def ambiguities(references: DataFrame) -> DataFrame:
     """``name, offset, len, base``: the runs of symbols other than A, C, G, T.  N stays N; no base is drawn."""
     rows = references.select("name", "seq", F.posexplode(F.split("seq", "")).alias("offset", "base")).where("base <> '' AND base NOT RLIKE '[ACGTacgt]'")
-    from pyspark.sql import Window as W
-
     island = F.col("offset") - F.row_number().over(W.partitionBy("name", "base").orderBy("offset"))
     return rows.withColumn("i", island).groupBy("name", "base", "i").agg(F.min("offset").alias("offset"), F.count("*").alias("len")).select("name", "offset", "len", "base")
 
@@ -191,13 +258,15 @@ _BAM_SCHEMA = (
 
 
 def bam_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """The records of BAM files, columns as of ``sam_alignments``; files are read in parallel."""
+    """The records of BAM files, columns as of ``sam_alignments``.  Files are read in parallel, each by one
+    task that holds it whole, so a set is best kept as files of moderate size, as ``write_bam`` writes it."""
     from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
     fields = [tuple(x.split()) for x in _BAM_SCHEMA.split(", ")]
     kind = StructType([StructField(n, IntegerType() if t == "int" else StringType()) for n, t in fields])
     quoted = ", ".join(f"`{n}` {t}" for n, t in fields)
     names = [n for n, _ in fields]
+
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
@@ -250,3 +319,43 @@ def reads(spark: SparkSession, path: str, strands: tuple[str, ...] = ("forward",
 def scoring(text: str) -> dict[str, str]:
     """The key and value pairs of a scoring file."""
     return dict(line.split()[:2] for line in text.splitlines() if len(line.split()) >= 2)
+
+
+def scheme(text: str) -> Scheme:
+    """The scores that a scoring file gives: ``match``, the least and the most costly mismatch (``mm-penalty-min``,
+    ``mm-penalty-max``) and gaps (``gap-open``, ``gap-ext``); penalties are positive numbers, others stay as by default."""
+    got = {k: int(float(v)) for k, v in scoring(text).items() if k in ("match", "mm-penalty-min", "mm-penalty-max", "gap-open", "gap-ext")}
+    plain = Scheme()
+    most = got.get("mm-penalty-max")
+    least = got.get("mm-penalty-min", most)
+    return Scheme(
+        got.get("match", plain.match), plain.mismatch if least is None else -least,
+        -got["gap-open"] if "gap-open" in got else plain.gap_open, -got["gap-ext"] if "gap-ext" in got else plain.gap_ext,
+        None if most is None or most == least else -most,
+    )
+
+
+def scheme_file(spark: SparkSession, path: str) -> Scheme:
+    """The same of a file; only that small file reaches the driver."""
+    return scheme("\n".join(r.value for r in spark.read.text(path).limit(1000).collect()))
+
+
+def debug_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """The compact form that ``sinks.write`` gives a ``.dbg`` path, with the columns that a comparison of two
+    sets takes: ``read_len`` and the numbers of substitution, insertion and deletion symbols of the CIGAR."""
+    df = spark.read.parquet(path)
+    total = lambda ops: F.aggregate(F.regexp_extract_all("cigar", F.lit(rf"(\d+)[{ops}]"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return df.withColumns({"subs": total("M=X"), "ins": total("I"), "dels": total("D"), "read_len": total("M=XIS")})
+
+
+def batches(reads: DataFrame, order: list[str], max_reads: int, max_bases: int, seq_col: str = "seq") -> DataFrame:
+    """Adds ``batch``: reads in the order of ``order`` in runs of at most ``max_reads`` reads that hold fewer than
+    ``max_bases`` bases before their last read.  The order is scanned in ranges, not in one task."""
+    from ..operators.primitives import scan
+
+    sized = scan(reads.withColumn("__n", F.length(seq_col).cast("long")), order, F.lit(1), "__at", exclusive=True)
+    sized = scan(sized, order, F.col("__n"), "__bases", exclusive=True)
+    key = F.struct(F.floor(F.col("__at") / max_reads).alias("r"), F.floor(F.col("__bases") / max_bases).alias("b"))
+    marks = sized.select(key.alias("__k")).distinct().select("__k", F.col("__k.r").alias("__r"), F.col("__k.b").alias("__b"))
+    numbered = scan(marks.withColumn("__o", F.struct("__r", "__b")), ["__r", "__b"], F.lit(1), "batch", exclusive=True).select("__k", "batch")
+    return sized.withColumn("__k", key).join(numbered, "__k").drop("__k", "__n", "__at", "__bases")

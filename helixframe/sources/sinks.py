@@ -41,8 +41,9 @@ def write_sam(alignments: DataFrame, path: str, references: list[tuple[str, int]
     head.coalesce(1).unionAll(sam_lines(alignments)).write.text(path)
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.coalesce("qual", F.expr("repeat('I', length(seq))")))).write.text(path)
+def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
+    """FASTQ text as a folder of parts; a read without qualities gets the best ones."""
+    reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.coalesce("qual", F.expr("repeat('I', length(seq))")))).write.text(path, compression)
 
 
 def write_fasta(references: DataFrame, path: str) -> None:
@@ -59,10 +60,51 @@ def write_strings(reads: DataFrame, path: str, forward: bool = True, reverse: bo
 
 def write_bwt(rows: DataFrame, path: str, compression: str | None = None) -> None:
     """A set's transform (``sa_rank, symbol, string_id``): the symbols in order, one per zero-ended line and
-    without ``$``, and the rows of ``$`` beside them as ``<path>.pri``."""
+    without ``$``, and the rows of ``$`` beside them as ``<path>.pri`` (``#PRI`` and a row and a string to a line)."""
     kept = rows.where("symbol <> '$'").orderBy("sa_rank").select("symbol").write
     (kept.option("compression", compression) if compression else kept).option("lineSep", "\u0000").text(path)
-    rows.where("symbol = '$'").orderBy("sa_rank").select(F.concat_ws("\t", F.col("sa_rank").cast("string"), F.col("string_id").cast("string"))).write.text(path + ".pri")
+    write_primary(rows, path + ".pri")
+
+
+def write_primary(rows: DataFrame, path: str) -> None:
+    head = rows.sparkSession.createDataFrame([(-1, "#PRI")], "sa_rank long, value string")
+    lines = rows.where("symbol = '$'").select("sa_rank", F.concat_ws(" ", F.col("sa_rank").cast("string"), F.col("string_id").cast("string")).alias("value"))
+    head.unionByName(lines).orderBy("sa_rank").select("value").write.text(path)
+
+
+def read_primary(spark: SparkSession, path: str) -> DataFrame:
+    """``sa_rank, string_id`` of a primary map."""
+    parts = F.split("value", " ")
+    return spark.read.text(path).where("value <> '#PRI'").select(parts[0].cast("long").alias("sa_rank"), parts[1].cast("long").alias("string_id"))
+
+
+def packed_bwt(rows: DataFrame, bits: int = 2) -> DataFrame:
+    """``word, value``: the transform's symbols without ``$``, 32 bits to a word, the first symbol in its
+    highest bits; ``bits`` is 2 or 4, and a symbol other than A, C, G, T needs 4."""
+    from ..functions import sequence as S
+    from ..operators.primitives import scan
+
+    per = 32 // bits
+    kept = scan(rows.where("symbol <> '$'").select("sa_rank", "symbol"), ["sa_rank"], F.lit(1), "at", exclusive=True)
+    shift = (F.lit(per - 1) - F.pmod(F.col("at"), F.lit(per))) * bits
+    one = F.call_function("shiftleft", S.symbol(F.col("symbol")).cast("long"), shift.cast("int"))
+    return kept.select(F.floor(F.col("at") / per).alias("word"), one.alias("v")).groupBy("word").agg(F.sum("v").alias("value"))
+
+
+def unpacked_bwt(words: DataFrame, symbols: int, bits: int = 2) -> DataFrame:
+    """``at, symbol``: the first ``symbols`` symbols of packed words, by their place without ``$``."""
+    from ..functions import sequence as S
+
+    per = 32 // bits
+    each = words.select("word", "value", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("k"))
+    code = F.call_function("shiftright", F.col("value"), ((per - 1 - F.col("k")) * bits).cast("int")).bitwiseAND((1 << bits) - 1)
+    return each.select((F.col("word") * per + F.col("k")).alias("at"), S.base(code).alias("symbol")).where(F.col("at") < symbols)
+
+
+def write_packed_bwt(rows: DataFrame, path: str, bits: int = 2) -> None:
+    """Packed words as Parquet in their order, and the primary map beside them."""
+    packed_bwt(rows, bits).sortWithinPartitions("word").write.parquet(path)
+    write_primary(rows, path + ".pri")
 
 
 def debug_rows(alignments: DataFrame) -> DataFrame:
@@ -117,21 +159,27 @@ def bam_header(references: list[tuple[str, int]]) -> bytes:
 
 
 def write_bam(alignments: DataFrame, path: str, references: list[tuple[str, int]]) -> None:
-    """One BAM file.  Tasks encode and compress; the driver appends their blocks to the file as they come,
-    a partition at a time."""
+    """BAM as a folder of files, each whole by itself (header, records, last block), one for each partition.
+
+    Tasks encode, compress and write; nothing passes through the driver.  A block's last byte is zero (the
+    highest of its length), so blocks are written as lines that end in a zero byte.
+    """
     refs = {n: k for k, (n, _) in enumerate(references)}
+    head = bgzf(bam_header(references))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines(data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["block"])
+
+        yield lines(head)
         for b in batches:
             rows = b.to_pylist()
             for at in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array([bgzf(b"".join(encode_bam(r, refs) for r in rows[at : at + 2000]))], pa.binary())], names=["block"])
+                yield lines(bgzf(b"".join(encode_bam(r, refs) for r in rows[at : at + 2000])))
+        yield lines(LAST)
 
-    with open(path, "wb") as f:
-        f.write(bgzf(bam_header(references)))
-        for r in alignments.mapInArrow(run, "block binary").toLocalIterator():
-            f.write(r.block)
-        f.write(LAST)
+    blocks = alignments.mapInArrow(run, "block binary")
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
 
 
 def write(alignments: DataFrame, path: str, references: list[tuple[str, int]]) -> None:
