@@ -211,6 +211,82 @@ def diff_filter(spark, d):
     return D.discordant_reads(_sides(spark, d), "doc_id", ("distant", "discordant"), ("score",), 1)
 
 
+#: Two made sets of alignments of the documents, mate by mate: column -> expression of the id and the side.
+_MADE = {
+    "pos": "CASE WHEN (doc_id + {k}) % 9 = 0 THEN 0 ELSE doc_id % 500 + {k} * (doc_id % 7) * 40 + 1 END", "ref_id": "(doc_id + {k} * (doc_id % 13 // 12)) % 3",
+    "flag": "((doc_id // 2 + {k} * (doc_id % 5 // 4)) % 2) * 16 + ((doc_id + {k}) % 4 // 3) * 4 + ((doc_id * 3 + {k}) % 5 // 1 % 2) * 2",
+    "read_len": "100 + doc_id % 3 + {k} * (doc_id % 17 // 16)", "score": "-(doc_id % 6) * {k}", "sec_score": "CASE WHEN (doc_id + {k}) % 3 = 0 THEN NULL ELSE -((doc_id + {k}) % 6) END",
+    "mapq": "(doc_id * 7 + {k} * 3) % 43", "ed": "(doc_id + {k}) % 8", "subs": "90 - (doc_id + {k}) % 11", "ins": "(doc_id * {k}) % 3", "dels": "(doc_id + 2 * {k}) % 4", "mms": "(doc_id * 5 + {k}) % 7",
+}
+
+
+def _made(spark, d, sides):
+    from .tables import table
+
+    cast = lambda e, k: F.expr(f"cast({e.format(k=k).replace('//', 'DIV')} AS bigint)")
+    return table(spark, d, "documents").select("doc_id", *(cast(e, k).alias(f"{t}_{c}") for t, k in sides.items() for c, e in _MADE.items()))
+
+
+_SINGLE, _PAIRED = {"l": 1, "r": 2}, {"l1": 1, "l2": 3, "r1": 2, "r2": 3}
+
+
+def diff_single(spark, d):
+    return D.analyse(_made(spark, d, _SINGLE))
+
+
+def diff_paired(spark, d):
+    return D.analyse(_made(spark, d, _PAIRED), paired=True)
+
+
+def diff_pairs(spark, d):
+    """Tests and sums of pairs, and derived sums of their mates."""
+    rows = D.pair_columns(_made(spark, d, {"l1": 1, "l2": 3}), "l")
+    return rows.select("doc_id", *(f"l_is_{t}" for t in ("mapped", "paired", "unpaired", "unique", "ambiguous")), "l_score", "l_sec_score", "l_mapq", "l_read_len", D.mapped_read_bases("l").alias("read_bases"), D.mapped_ref_bases("l1").alias("ref_bases"), D.trimmed("l2").alias("trimmed"))
+
+
+def _made_sql(sides):
+    cols = ", ".join(f"({e.format(k=k)})::BIGINT AS {t}_{c}" for t, k in sides.items() for c, e in _MADE.items())
+    return f"m AS (SELECT doc_id, {cols} FROM documents)"
+
+
+def _pair_sql(t):
+    a, b = f"{t}1", f"{t}2"
+    up = lambda x: f"({x}_pos <> 0 AND {x}_flag & 4 = 0)"
+    pair = f"({up(a)} AND {up(b)} AND {a}_flag & 2 <> 0 AND {b}_flag & 2 <> 0)"
+    sums = ", ".join(f"{a}_{c} + {b}_{c} AS {t}_{c}" for c in ("read_len", "score", "sec_score", "ed", "subs", "ins", "dels", "mms"))
+    return f"""{sums}, {a}_mapq AS {t}_mapq, {a}_pos AS {t}_pos, {up(a)} AND {up(b)} AS {t}_is_mapped, {pair} AS {t}_is_paired, {up(a)} AND {up(b)} AND NOT {pair} AS {t}_is_unpaired,
+  {pair} AND {a}_sec_score IS NULL AND {b}_sec_score IS NULL AS {t}_is_unique, {pair} AND coalesce({a}_sec_score + {b}_sec_score = {a}_score + {b}_score, false) AS {t}_is_ambiguous"""
+
+
+def _single_sql(t):
+    up = f"({t}_pos <> 0 AND {t}_flag & 4 = 0)"
+    return f"{up} AS {t}_is_mapped, {up} AND {t}_sec_score IS NULL AS {t}_is_unique, {up} AND coalesce({t}_sec_score = {t}_score, false) AS {t}_is_ambiguous"
+
+
+def _analyse_sql(paired):
+    sides, mates = (_PAIRED, (("l1", "r1"), ("l2", "r2"))) if paired else (_SINGLE, (("l", "r"),))
+    tests = ("mapped", "paired", "unique", "ambiguous") if paired else ("mapped", "unique", "ambiguous")
+    shape = _pair_sql if paired else _single_sql
+    elsewhere = " OR ".join(f"{l}_ref_id <> {r}_ref_id" for l, r in mates)
+    distant = " OR ".join(f"{l}_ref_id <> {r}_ref_id OR abs({l}_pos - {r}_pos) > {l}_read_len" for l, r in mates)
+    turned = " OR ".join(f"{l}_flag & 16 <> {r}_flag & 16" for l, r in mates)
+    fits = " AND ".join(f"{l}_read_len = {r}_read_len" for l, r in mates)
+    ok = "l_is_paired AND r_is_paired" if paired else "l_is_mapped AND r_is_mapped"
+    parts = ["SELECT 'mismatched' AS section, 'reads' AS item, '-' AS side, 0::BIGINT AS bin FROM s WHERE NOT fits"]
+    for t in tests:
+        parts += [f"SELECT 'tests', '{t}', '{k}', 0 FROM s WHERE fits AND {w}" for k, w in (("l", f"l_is_{t}"), ("r", f"r_is_{t}"), ("both", f"l_is_{t} AND r_is_{t}"))]
+        parts += [f"SELECT 'only', '{t}', '{a}', {_BIN(f'{a}_mapq')} FROM s WHERE fits AND {a}_is_{t} AND NOT {b}_is_{t}" for a, b in (("l", "r"), ("r", "l"))]
+    parts += [f"SELECT 'moved', '{k}', '-', {_BIN('r_mapq')} FROM s WHERE fits AND ok AND {k}" for k in ("elsewhere", "distant", "discordant")]
+    value = {"ed": "{0}_ed", "mapq": "{0}_mapq", "length": "({0}_subs + {0}_ins)", "trimmed": "({0}_read_len - {0}_subs - {0}_ins)", "subs": "{0}_subs", "mms": "{0}_mms", "ins": "{0}_ins", "dels": "{0}_dels", "pos": "{0}_pos"}
+    for section, test in (("all", "true"), ("distant", "distant"), ("discordant", "discordant")):
+        for item, v in value.items():
+            gap = f"({v.format('l')} - {v.format('r')})"
+            parts.append(f"SELECT '{section}', '{item}', CASE WHEN {gap} > 0 THEN 'l' WHEN {gap} < 0 THEN 'r' ELSE 'equal' END, {_BIN(f'abs({gap})')} FROM s WHERE fits AND ok AND {test}")
+    return f"""WITH {_made_sql(sides)}, p AS (SELECT *, {shape('l')}, {shape('r')} FROM m),
+s AS (SELECT *, {fits} AS fits, {ok} AS ok, ({elsewhere}) AS elsewhere, ({distant}) AS distant, ({turned}) AS discordant FROM p), x AS ({" UNION ALL ".join(parts)})
+SELECT section, item, side, bin, count(*) AS n FROM x GROUP BY ALL"""
+
+
 def best2_ends(spark, d):
     """Best two ends of each pair's semi-global alignment, more than 8 symbols apart."""
     ends = _pairs(spark, d).select("item_id", A.end_scores("pattern", "text", A.EDIT).alias("ends"))
@@ -264,6 +340,9 @@ h AS (SELECT doc_id, ((doc_id * 7919) % (SELECT sum(length(seq))::BIGINT FROM re
     "diff_hist2d": (diff_hist2d, f"{SIDES} SELECT least(greatest(l_mapq // 10, 0), 4)::BIGINT AS l_bin, least(greatest(r_mapq // 10, 0), 4)::BIGINT AS r_bin, count(*) AS n FROM z GROUP BY ALL"),
     "diff_summary": (diff_summary, f"{SIDES}, s3 AS (SELECT CASE WHEN l_score > r_score THEN 'l' WHEN l_score < r_score THEN 'r' ELSE 'equal' END AS side, {_BIN('abs(l_score - r_score)')} AS bin FROM z) SELECT side, bin, count(*) AS n FROM s3 GROUP BY ROLLUP (side, bin)"),
     "diff_filter": (diff_filter, f"{SIDES} SELECT doc_id FROM z WHERE (abs(l_pos - r_pos) > 100 OR (l_flag & 16) <> (r_flag & 16)) AND l_score - r_score >= 1"),
+    "diff_single": (diff_single, _analyse_sql(False)),
+    "diff_paired": (diff_paired, _analyse_sql(True)),
+    "diff_pairs": (diff_pairs, f"WITH {_made_sql({'l1': 1, 'l2': 3})}, p AS (SELECT *, {_pair_sql('l')} FROM m) SELECT doc_id, l_is_mapped, l_is_paired, l_is_unpaired, l_is_unique, l_is_ambiguous, l_score, l_sec_score, l_mapq, l_read_len, l_subs + l_ins AS read_bases, l1_subs + l1_dels AS ref_bases, l2_read_len - l2_subs - l2_ins AS trimmed FROM p"),
     "best2_ends": (best2_ends, f"""WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', A.EDIT, 'semi_global')}, en AS (SELECT item_id, i AS e, h[length(pattern) + 1] AS score FROM dp),
 b AS (SELECT item_id, score, e AS "end" FROM en QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, e DESC) = 1),
 o AS (SELECT en.item_id, en.score AS second_score, e AS second_end FROM en JOIN b USING (item_id) WHERE abs(e - "end") > 8 QUALIFY row_number() OVER (PARTITION BY en.item_id ORDER BY en.score DESC, e DESC) = 1)

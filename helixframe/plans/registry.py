@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, dataflow, index, strings
+from . import alignment, dataflow, files, index, strings
 
-ALL = strings.QUERIES | index.QUERIES | alignment.QUERIES | dataflow.QUERIES
+ALL = strings.QUERIES | index.QUERIES | alignment.QUERIES | dataflow.QUERIES | files.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from helixframe.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents benchmark".split()
 #: A few of each kind, so that the tests stay short; all of them are registered with their SQL.
-CHOSEN = ["revcomp", "seeds_retry", "qgram_encode", "qgram_index", "qgram_range", "qgram_best_diagonal", "bwt", "rank_queries", "fm_count", "hamming_match", "mem", "mapq", "pair_hits", "diff_contingency", "coord_to_refseq", "reduce_by_key", "bounds", "sum_tree", "bloom_semi", "suffix_trie", "edit_distance_semiglobal", "sw_local", "gotoh_semiglobal", "qmap", "fmmap", "qgram_page", "checksum", "best2_ends"]
+CHOSEN = ["revcomp", "seeds_retry", "qgram_encode", "qgram_index", "qgram_range", "qgram_best_diagonal", "bwt", "rank_queries", "fm_count", "hamming_match", "mem", "mapq", "pair_hits", "diff_contingency", "coord_to_refseq", "reduce_by_key", "bounds", "sum_tree", "bloom_semi", "suffix_trie", "edit_distance_semiglobal", "sw_local", "gotoh_semiglobal", "qmap", "fmmap", "qgram_page", "checksum", "best2_ends", "fastq_file", "bam_file", "sam_reads", "bwt_packed", "read_batches", "run_statistics"]
 
 
 @pytest.fixture(scope="module")
