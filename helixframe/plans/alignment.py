@@ -36,11 +36,13 @@ def _candidates(spark, d, least=2):
     return both.select("doc_id", "item_id", "diag", "n", "pattern", begin.cast("long").alias("begin"), S.infix(F.col("seq"), begin, begin + F.length("pattern") + 48).alias("text")).where("text <> ''")
 
 
-def score_sql(pairs: str, keys: str, scheme: A.Scheme, kind: str) -> str:
+def score_sql(pairs: str, keys: str, scheme: A.Scheme, kind: str, quality: bool = False) -> str:
     """Recursive tables for DuckDB that score ``pattern`` with ``text`` for the rows of table ``pairs``: ``dp``
     goes through the text a symbol at a time with a row of the matrix as a list, ``scored`` has ``keys`` and
-    ``score``.  Semi-global and local; ``j`` counts from 1, the border."""
+    ``score``.  Semi-global and local; ``j`` counts from 1, the border.  With ``quality`` the table also has
+    ``qual``, and must have it among the keys."""
     go, ge, local = scheme.gap_open, scheme.gap_ext, kind == "local"
+    miss = f"({scheme.mismatch} + trunc(least(ascii(substr(qual, j - 1, 1)) - 33, 40) / 40.0 * ({scheme.mismatch_most} - {scheme.mismatch})))::BIGINT" if quality else str(scheme.mismatch)
     first = "0" if local else f"CASE WHEN j = 0 THEN 0 ELSE {go} + {ge} * (j - 1) END"
     clamp = "0, " if local else ""
     end = "list_max(nh)" if local else "nh[length(pattern) + 1]"
@@ -50,11 +52,56 @@ def score_sql(pairs: str, keys: str, scheme: A.Scheme, kind: str) -> str:
   UNION ALL
   SELECT {keys}, pattern, text, i + 1, nh, nf, greatest(best, {end}) FROM (
     SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(tmp[j], list_max(list_transform(range(1, j), lambda k: tmp[k] + {go} + {ge} * (j - k - 1)))) END) AS nh FROM (
-      SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest({clamp}nf[j], h[j - 1] + CASE WHEN substr(pattern, j - 1, 1) = substr(text, i + 1, 1) THEN {scheme.match} ELSE {scheme.mismatch} END) END) AS tmp FROM (
+      SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest({clamp}nf[j], h[j - 1] + CASE WHEN substr(pattern, j - 1, 1) = substr(text, i + 1, 1) THEN {scheme.match} ELSE {miss} END) END) AS tmp FROM (
         SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: greatest(h[j] + {go}, f[j] + {ge})) AS nf FROM dp WHERE i < length(text)) x) y) z),
 scored AS (SELECT {keys}, best AS score FROM dp WHERE i = length(text))"""
 
 
+def banded_sql(pairs: str, keys: str, band: int) -> str:
+    """The same for the semi-global edit distance within a band: the text is ahead by 0 to ``band`` - 1 symbols."""
+    low, ok = -1000000, f"(i + 1 - (j - 1) >= 0 AND i + 1 - (j - 1) < {band})"
+    return f"""dp AS (
+  SELECT {keys}, pattern, text, 0 AS i, list_transform(range(0, length(pattern) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE {low} END::BIGINT) AS h, (CASE WHEN length(pattern) = 0 THEN 0 ELSE {low} END)::BIGINT AS best FROM {pairs}
+  UNION ALL
+  SELECT {keys}, pattern, text, i + 1, nh, greatest(best, nh[length(pattern) + 1]) FROM (
+    SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN NOT {ok} THEN {low} WHEN j = 1 THEN 0 ELSE greatest(tmp[j], list_max(list_transform(range(1, j), lambda k: tmp[k] - (j - k)))) END) AS nh FROM (
+      SELECT *, list_transform(range(1, length(pattern) + 2), lambda j: CASE WHEN NOT {ok} THEN {low} WHEN j = 1 THEN 0 ELSE greatest(h[j] - 1, h[j - 1] - CASE WHEN substr(pattern, j - 1, 1) = substr(text, i + 1, 1) THEN 0 ELSE 1 END) END) AS tmp FROM dp WHERE i < length(text)) x) y),
+scored AS (SELECT {keys}, CASE WHEN best > {low} // 2 THEN best END AS score FROM dp WHERE i = length(text))"""
+
+
+def trace_sql(keys: str, scheme: A.Scheme) -> str:
+    """Tables after the ``dp`` of a local ``score_sql``: ``walked`` goes back from the last best cell, ``traced`` has
+    ``keys, score``, the places, ``cigar``, ``md`` and ``ed``."""
+    go, ge = scheme.gap_open, scheme.gap_ext
+    on = f"e1 + {ge} > h1 + {go}"
+    same = [f"{{0}}.{k.strip()} = {{1}}.{k.strip()}" for k in keys.split(",")]
+    meet = lambda a, b: " AND ".join(x.format(a, b) for x in same)
+    of = lambda a: ", ".join(f"{a}.{k.strip()}" for k in keys.split(","))
+    insert = lambda j: f"list_max(list_transform(range(1, {j}), lambda k: r.h[k] + {go} + {ge} * ({j} - k - 1)))"
+    return f"""tops AS (SELECT *, list_max(h[2:]) AS top FROM dp WHERE i > 0 AND length(pattern) > 0),
+ends AS (SELECT {keys}, pattern, text, i, top, list_max(list_filter(range(2, length(pattern) + 2), lambda j: h[j] = top)) AS j FROM tops QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY top DESC, i DESC) = 1),
+walked AS (
+  SELECT {keys}, pattern, text, i, j, NULL::VARCHAR AS state, '' AS steps, false AS done, top AS score, i AS te, j AS pe FROM ends
+  UNION ALL
+  SELECT {keys}, pattern, text, CASE WHEN way IN ('M', 'D') THEN i - 1 ELSE i END, CASE WHEN way IN ('M', 'I') THEN j - 1 ELSE j END,
+    CASE WHEN way = 'I' AND e_on THEN 'I' WHEN way = 'D' AND f_on THEN 'D' END, CASE WHEN way = 'S' THEN steps ELSE way || steps END, way = 'S', score, te, pe FROM (
+    SELECT *, coalesce(state, CASE WHEN h0 <= 0 THEN 'S' WHEN f0 > e0 THEN CASE WHEN f0 > diag THEN 'D' ELSE 'M' END WHEN e0 > diag THEN 'I' ELSE 'M' END) AS way, coalesce({on}, false) AS e_on, f1 + {ge} > hu + {go} AS f_on FROM (
+      SELECT {of('w')}, w.pattern, w.text, w.i, w.j, w.state, w.steps, w.score, w.te, w.pe, r.h[w.j] AS h0, r.f[w.j] AS f0, {insert('w.j')} AS e0, {insert('(w.j - 1)')} AS e1, r.h[w.j - 1] AS h1, q.f[w.j] AS f1, q.h[w.j] AS hu,
+        q.h[w.j - 1] + CASE WHEN substr(w.pattern, w.j - 1, 1) = substr(w.text, w.i, 1) THEN {scheme.match} ELSE {scheme.mismatch} END AS diag
+      FROM walked w JOIN dp r ON {meet('w', 'r')} AND r.i = w.i JOIN dp q ON {meet('w', 'q')} AND q.i = w.i - 1 WHERE NOT w.done AND w.j > 1) x) y),
+last AS (SELECT *, i AS tb, j - 1 AS pb FROM walked QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY length(steps) DESC, done DESC) = 1),
+marked AS (
+  SELECT {keys}, pattern, text, steps, 1 AS k, tb AS i, pb AS j, 0 AS same, false AS gap, '' AS md, 0 AS ed FROM last
+  UNION ALL
+  SELECT {keys}, pattern, text, steps, k + 1, CASE WHEN s = 'I' THEN i ELSE i + 1 END, CASE WHEN s = 'D' THEN j ELSE j + 1 END,
+    CASE WHEN s = 'M' AND eq THEN same + 1 WHEN s = 'I' THEN same ELSE 0 END, s = 'D',
+    md || CASE WHEN s = 'M' AND NOT eq THEN same || substr(text, i + 1, 1) WHEN s = 'D' THEN CASE WHEN gap THEN substr(text, i + 1, 1) ELSE same || '^' || substr(text, i + 1, 1) END ELSE '' END,
+    ed + CASE WHEN s = 'M' AND eq THEN 0 ELSE 1 END FROM (SELECT *, substr(steps, k, 1) AS s, substr(pattern, j + 1, 1) = substr(text, i + 1, 1) AS eq FROM marked WHERE k <= length(steps)) x),
+noted AS (SELECT {keys}, md || same AS md, ed FROM marked WHERE k = length(steps) + 1),
+traced AS (SELECT {of('l')}, score, tb AS text_begin, te AS text_end, pb AS pattern_begin, pe - 1 AS pattern_end,
+  CASE WHEN pb > 0 THEN pb || 'S' ELSE '' END || array_to_string(list_transform(regexp_extract_all(steps, 'M+|I+|D+'), lambda x: length(x) || x[1]), '') || CASE WHEN length(pattern) > pe - 1 THEN (length(pattern) - pe + 1) || 'S' ELSE '' END AS cigar, md, ed FROM last l JOIN noted n ON {meet('l', 'n')})"""
+
+
 def edit_distance_global(spark, d):
     return _pairs(spark, d).select("item_id", A.align_score("pattern", "text", A.EDIT, "global").cast("long").alias("score"))
 
@@ -75,8 +122,27 @@ def gotoh_semiglobal(spark, d):
     return _pairs(spark, d).select("item_id", A.align_score("pattern", "text", GOTOH, "semi_global").cast("long").alias("score"))
 
 
+def _traced(rows, **more):
+    names = ("score", "text_begin", "text_end", "pattern_begin", "pattern_end", "ed")
+    return rows.select("item_id", A.align("pattern", "text", GOTOH, "local", **more).alias("a")).select("item_id", *(F.col(f"a.{c}").cast("long").alias(c) for c in names), "a.cigar", "a.md")
+
+
 def cigar(spark, d):
-    return _pairs(spark, d).select("item_id", A.align("pattern", "text", GOTOH, "local").alias("a")).select("item_id", "a.*")
+    """Local alignments of pairs of items that are not empty, with their paths."""
+    return _traced(_pairs(spark, d).where("pattern <> '' AND text <> ''"))
+
+
+#: Mismatches cost two to six by quality.
+QUALITY = A.Scheme(2, -2, -5, -3, mismatch_most=-6)
+
+
+def _qualities(pattern):
+    return F.translate(pattern, "ACGT", "I5+!")
+
+
+def gotoh_quality(spark, d):
+    """Mismatches scaled by the qualities of the pattern's symbols."""
+    return _pairs(spark, d).select("item_id", A.align_score("pattern", "text", QUALITY, "semi_global", quality=_qualities(F.col("pattern"))).cast("long").alias("score"))
 
 
 def qmap(spark, d):
@@ -311,10 +377,11 @@ _GAP = lambda o: f"CASE WHEN n * 2 < m THEN 0 WHEN n * 2 + {o} < m THEN 0 ELSE g
 QUERIES = {
     "edit_distance_global": (edit_distance_global, f"WITH {PAIRS} SELECT item_id, -levenshtein(pattern, text) AS score FROM pairs"),
     "edit_distance_semiglobal": (edit_distance_semiglobal, f"WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', A.EDIT, 'semi_global')} SELECT item_id, score FROM scored"),
-    "edit_distance_banded": (edit_distance_banded, None),
+    "edit_distance_banded": (edit_distance_banded, f"WITH RECURSIVE {PAIRS}, {banded_sql('pairs', 'item_id', 31)} SELECT item_id, score FROM scored"),
+    "gotoh_quality": (gotoh_quality, f"WITH RECURSIVE {PAIRS}, qp AS (SELECT *, translate(pattern, 'ACGT', 'I5+!') AS qual FROM pairs), {score_sql('qp', 'item_id, qual', QUALITY, 'semi_global', True)} SELECT item_id, score FROM scored"),
     "sw_local": (sw_local, f"WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', A.Scheme(2, -1, -1, -1), 'local')} SELECT item_id, score FROM scored"),
     "gotoh_semiglobal": (gotoh_semiglobal, f"WITH RECURSIVE {PAIRS}, {score_sql('pairs', 'item_id', GOTOH, 'semi_global')} SELECT item_id, score FROM scored"),
-    "cigar": (cigar, None),
+    "cigar": (cigar, f"WITH RECURSIVE {PAIRS}, whole AS (SELECT * FROM pairs WHERE pattern <> '' AND text <> ''), {score_sql('whole', 'item_id', GOTOH, 'local')}, {trace_sql('item_id', GOTOH)} SELECT item_id, score, text_begin, text_end, pattern_begin, pattern_end, cigar, md, ed::BIGINT AS ed FROM traced"),
     "qmap": (qmap, f"""{HITS.replace("WITH", "WITH RECURSIVE", 1)}, c AS (SELECT doc_id, item_id, {SNAP} AS diag FROM hits GROUP BY ALL HAVING count(*) >= 2),
 cases AS (SELECT doc_id, c.item_id, diag, ref.seq AS pattern, substr(dna.seq, greatest(diag - 16, 0) + 1, length(ref.seq) + 48) AS text FROM c JOIN ref ON c.item_id = ref.item_id JOIN dna USING (doc_id)),
 whole AS (SELECT * FROM cases WHERE text <> ''), {score_sql("whole", "doc_id, item_id, diag", A.EDIT, "semi_global")}
