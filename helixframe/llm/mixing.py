@@ -59,15 +59,24 @@ def _weight(mix: Mix, level: str) -> Column:
     return out
 
 
-def _share_out(children: DataFrame, parent: list[str]) -> DataFrame:
+def _share_out(children: DataFrame, parent: list[str], few: bool) -> DataFrame:
     """Adds ``give``: each child's part of its parent's ``budget``, by ``weight`` up to ``room``.
 
     Children fill up in proportion to their weights; what a full child leaves over goes to its siblings
-    by their weights, up to a level of room to weight that uses the budget.  Sums over steps of that
-    ratio, combined before the shuffle, tell in which step the level lies; only the ratios of that step
-    are put in order, each once, so that a parent may have any number of children.
+    by their weights, up to a level of room to weight that uses the budget: the largest of the levels
+    found by filling the children in the order of that ratio.  A parent may have any number of children:
+    unless all of them are ``few``, sums over steps of the ratio, combined before the shuffle, tell in which
+    step the level lies, and only the ratios of that step are put in order, each once.
     """
+    if few:
+        ratio = F.col("room") / F.col("weight")
+        up = W.partitionBy(*parent).orderBy(ratio)
+        full = F.coalesce(F.sum("room").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum("weight").over(up.rowsBetween(0, W.unboundedFollowing))
+        level = children.withColumn("level", (F.col("budget") - full) / rest).withColumn("level", F.max("level").over(W.partitionBy(*parent)))
+        return level.withColumn("give", F.least("room", F.col("level") * F.col("weight"))).drop("level")
     kids = children.withColumn("ratio", F.col("room") / F.col("weight")).withColumn("step", F.coalesce(F.floor(F.log2("ratio") * STEPS), F.lit(-(2**20))))
+    kids = cut(kids)  # read three times below; without it a level's plan would hold the plans of the levels above three times over
     steps = kids.groupBy(*parent, "step").agg(F.sum("room").alias("r"), F.sum("weight").alias("w"), F.min("ratio").alias("lo"), F.max("budget").alias("budget"))
     up = W.partitionBy(*parent).orderBy("step")
     below = F.coalesce(F.sum("r").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
@@ -79,11 +88,12 @@ def _share_out(children: DataFrame, parent: list[str]) -> DataFrame:
     before = W.partitionBy(*parent).orderBy("ratio").rowsBetween(W.unboundedPreceding, -1)
     full, used = (F.coalesce(F.sum(c).over(before), F.lit(0.0)) for c in ("r", "w"))
     level = inside.withColumn("level", F.greatest("start", (F.col("budget") - F.col("below") - full) / (F.col("rest") - used))).groupBy(*parent).agg(F.max("level").alias("level"))
-    return children.join(level, parent).withColumn("give", F.least("room", F.col("level") * F.col("weight"))).drop("level")
+    return kids.join(level, parent).withColumn("give", F.least("room", F.col("level") * F.col("weight"))).drop("level", "ratio", "step")
 
 
-def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
-    """``leaves`` (domain, lang, source, tokens, rows) with ``give``, the whole tokens each may use.
+def budgets(leaves: DataFrame, mix: Mix, few: bool = False) -> DataFrame:
+    """``leaves`` (domain, lang, source, tokens, rows) with ``give``, the whole tokens each may use; ``few``
+    says that one task can order them all.
 
     A parent's room is the sum of its children's, so a shortage is made up among siblings while they
     have room and passes to the parent's siblings only then.  Children of weight zero get nothing.
@@ -102,7 +112,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
             parent = ["__all"]
         else:
             above = rooms.join(parts.select(*parent, "budget"), parent)
-        parts = _share_out(above, parent).select(*keys, F.col("give").alias("budget"))
+        parts = _share_out(above, parent, few).select(*keys, F.col("give").alias("budget"))
     return leaves.join(parts, list(LEVELS)).withColumn("give", F.floor(F.col("budget") + 1e-6)).drop("budget")
 
 
@@ -127,10 +137,10 @@ def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
     both are summed first.  No task sees a leaf.
     """
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
-    plan = budgets(leaves, mix).where("tokens > 0")
+    few = leaves.count() <= BROADCAST_LEAVES
+    plan = budgets(leaves, mix, few).where("tokens > 0")
     plan = plan.withColumn("whole", F.floor(F.col("give") / F.col("tokens"))).withColumn("rest", F.col("give") - F.col("whole") * F.col("tokens"))
     plan = cut(plan.withColumn("buckets", F.ceil(F.col("rows") / ROWS_PER_BUCKET)).select(*LEVELS, "whole", "rest", "buckets"))
-    few = plan.count() <= BROADCAST_LEAVES
     held = rows.join(F.broadcast(plan) if few else plan, list(LEVELS))
     held = held.withColumn("place", _place(mix.seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", _bucket(F.col("place"), F.col("buckets")))
     sums = held.groupBy(*LEVELS, "bucket", "rest").agg(F.sum("n_tokens").alias("n"))

@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from helixframe.llm import mixing
 from helixframe.llm.mixing import Mix, _bucket, mixed_documents, mixture, mixture_sql
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, place long"
@@ -115,7 +116,9 @@ def test_buckets_of_very_large_leaves(spark):
     assert all(r.b == (r.place >> 12) * r.n >> 40 for r in got)
 
 
-def test_many_sources_of_a_parent(spark):
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_many_sources_of_a_parent(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", few)
     rng = random.Random(6)
     rows = [(i, "w " * rng.choice([1, 2, 40, 900]), "en", f"s{rng.randrange(700)}", 1, 1) for i in range(4000)]
     mix = Mix(share=1.1, source={f"s{k}": float(1 + k % 5) for k in range(60)})
