@@ -140,6 +140,44 @@ def gap_room(length: Column, min_score: Column, match: int, gap_open: int, gap_e
     return F.when(best < min_score, 0).otherwise(F.greatest(steps - 1, F.lit(0))).cast("long")
 
 
+def divide_up(x: Column, y: Column | int) -> Column:
+    """The quotient of whole numbers, rounded up."""
+    return F.ceil(x / (y if isinstance(y, Column) else F.lit(y))).cast("long")
+
+
+def round_up(x: Column, y: int) -> Column:
+    """The next multiple of ``y``."""
+    return divide_up(x, y) * y
+
+
+def round_down(x: Column, y: int) -> Column:
+    return (F.floor(x / y) * y).cast("long")
+
+
+def log2_whole(x: Column) -> Column:
+    """The whole part of the binary logarithm of a positive whole number."""
+    return (F.length(F.bin(x)) - 1).cast("long")
+
+
+# Multiplier and increment of the 32-bit linear congruential generator.
+LCG = (1664525, 1013904223)
+
+
+def lcg_next(x: Column) -> Column:
+    """The number after ``x`` in a 32-bit linear congruential sequence; halves keep the product within 64 bits."""
+    a, c = LCG
+    return ((x * a).bitwiseAND(0xFFFFFFFF) + c).bitwiseAND(0xFFFFFFFF)
+
+
+def popcount(x: Column) -> Column:
+    return F.bit_count(x).cast("long")
+
+
+def band_of(max_dist: Column) -> Column:
+    """``band_length`` as a column."""
+    return (F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(max_dist * 2 + 1)).cast("int")) - 1).cast("long")
+
+
 def band_length(max_dist: int) -> int:
     """The power of two, less one, that covers ``2 * max_dist + 1``."""
     n = 1

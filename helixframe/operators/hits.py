@@ -157,16 +157,11 @@ def to_reference(hits: DataFrame, references: DataFrame, pos: str = "pos", lengt
     References and hits are put into one order and each hit takes the last reference that begins before
     it, inside ranges of the order; there is no join of all with all.
     """
-    from .primitives import with_ranges
-
-    marks = references.select(F.col("offset").cast("long").alias("__x"), F.lit(0).alias("__kind"), F.struct("ref_id", "offset", F.col("length").alias("len")).alias("__ref"))
-    asked = hits.select(F.col(pos).cast("long").alias("__x"), F.lit(1).alias("__kind"), F.struct(*hits.columns).alias("__hit"))
-    both = with_ranges(marks.unionByName(asked, allowMissingColumns=True), "__x")
-    inner = W.partitionBy("__range").orderBy("__x", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    lasts = both.groupBy("__range").agg(F.max_by("__ref", F.when(F.col("__kind") == 0, F.col("__x"))).alias("__l"))
-    edges = lasts.withColumn("__edge", F.last("__l", ignorenulls=True).over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).drop("__l")  # one row per range
-    out = both.withColumn("__in", F.last("__ref", ignorenulls=True).over(inner)).join(F.broadcast(edges), "__range").where("__kind = 1")
-    out = out.withColumn("__at", F.coalesce("__in", "__edge"))
+    from .primitives import last_marks
+
+    marks = references.select(F.col("offset").cast("long").alias("__x"), F.struct("ref_id", "offset", F.col("length").alias("len")).alias("__ref"))
+    asked = hits.select(F.col(pos).cast("long").alias("__x"), F.struct(*hits.columns).alias("__hit"))
+    out = last_marks(marks, asked, "__x", "__ref").withColumnRenamed("__mark", "__at")
     return out.select("__hit.*", F.col("__at.ref_id").alias("ref_id"), (F.col("__x") - F.col("__at.offset") + 1).alias("ref_pos"), (F.col(f"__hit.{length}") + F.col("__x") > F.col("__at.offset") + F.col("__at.len")).alias("bridges"))
 
 

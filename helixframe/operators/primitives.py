@@ -6,38 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges an order is divided into, so that a global scan runs in parallel.
-RANGES = 64
-#: Keys, at most, from which the bounds of the ranges are chosen.
-BOUND_SAMPLE = 4096
+from .storage import cut
 
+#: Rows of an order in one range, about: a global scan has as many ranges as its table's size asks for.
+ROWS_PER_RANGE = 1 << 20
 
-def with_ranges(df: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
-    """Adds ``__range``: rows with smaller keys have smaller range numbers, equal keys the same one.
 
-    The bounds are quantiles of a bounded sample of the keys; they only affect balance, not results.
-    """
-    keys = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(BOUND_SAMPLE).collect())
-    bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
-    number = F.lit(0)
-    for b in bounds:
-        number = number + F.when(F.col(key) >= F.lit(b), 1).otherwise(0)
-    return df.withColumn("__range", number)
+def with_ranges(df: DataFrame, order: list[str], rows_per_range: int | None = None) -> DataFrame:
+    """The rows with ``__range``: rows that come earlier in the order have smaller range numbers.
 
+    The input is written once, and its number of rows gives the number of ranges.  Rows are placed by Spark's
+    range partitioner, which samples all order columns, so that rows that share the first are divided by the
+    others; placed rows are written, as their range is the partition they came to.  A table of one range stays as it is.
+    """
+    rows = cut(df)
+    ranges = -(-rows.count() // (rows_per_range or ROWS_PER_RANGE))
+    if ranges <= 1:
+        return rows.withColumn("__range", F.lit(0))
+    return cut(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
 
-def scan(df: DataFrame, order: list[str], value: Column, name: str, exclusive: bool = False) -> DataFrame:
-    """Running sum of ``value`` over the whole table in the order of ``order`` (a total order).
 
-    Two levels: sums per range of the first order column, and a window inside each range.  No task holds
-    the table.
-    """
-    ranged = with_ranges(df.withColumn("__value", value), order[0])
+def _scanned(ranged: DataFrame, order: list[str], value: Column, name: str, exclusive: bool = False) -> DataFrame:
+    """The running sum over ranged rows, which keep their range."""
+    ranged = ranged.withColumn("__value", value)
     sums = ranged.groupBy("__range").agg(F.sum("__value").alias("__s"))
-    # one row per range: RANGES at most
+    # one row per range
     before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__s")
     inner = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
     out = ranged.join(F.broadcast(before), "__range")
-    return out.withColumn(name, F.col("__before") + F.coalesce(F.sum("__value").over(inner), F.lit(0))).drop("__range", "__value", "__before")
+    return out.withColumn(name, F.col("__before") + F.coalesce(F.sum("__value").over(inner), F.lit(0))).drop("__value", "__before")
+
+
+def scan(df: DataFrame, order: list[str], value: Column, name: str, exclusive: bool = False) -> DataFrame:
+    """Running sum of ``value`` over the whole table in the order of ``order`` (a total order).
+
+    Two levels: sums per range of the order, and a window inside each range.  No task holds more than about
+    ``ROWS_PER_RANGE`` rows.
+    """
+    return _scanned(with_ranges(df, order), order, value, name, exclusive).drop("__range")
 
 
 def segmented_scan(df: DataFrame, segment: list[str], order: list[str], value: Column, name: str, exclusive: bool = False) -> DataFrame:
@@ -46,24 +52,45 @@ def segmented_scan(df: DataFrame, segment: list[str], order: list[str], value: C
     return df.withColumn(name, F.coalesce(total, F.lit(0)) if exclusive else total)
 
 
-def previous(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
-    """Adds ``prev_<column>`` of the row before in the whole table's order, and ``is_first``."""
-    ranged = with_ranges(df, order[0])
+def _preceded(ranged: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """``prev_<column>`` and ``is_first`` of ranged rows, which keep their range."""
     w = W.partitionBy("__range").orderBy(*order)
     took = F.struct(F.lit(1).alias("there"), *columns)
     lasts = ranged.groupBy("__range").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__l"))
-    edges = lasts.withColumn("__edge", F.lag("__l").over(W.orderBy("__range"))).drop("__l")  # RANGES rows at most
+    edges = lasts.withColumn("__edge", F.lag("__l").over(W.orderBy("__range"))).drop("__l")  # one row per range
     out = ranged.withColumn("__p", F.lag(took).over(w)).join(F.broadcast(edges), "__range")
     inside = F.col("__p").isNotNull()
     for c in columns:
         out = out.withColumn(f"prev_{c}", F.when(inside, F.col(f"__p.{c}")).otherwise(F.col(f"__edge.{c}")))
-    return out.withColumn("is_first", ~inside & F.col("__edge").isNull()).drop("__range", "__p", "__edge")
+    return out.withColumn("is_first", ~inside & F.col("__edge").isNull()).drop("__p", "__edge")
+
+
+def previous(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``prev_<column>`` of the row before in the whole table's order, and ``is_first``."""
+    return _preceded(with_ranges(df, order), order, columns).drop("__range")
+
+
+def last_marks(marks: DataFrame, asked: DataFrame, x: str, mark: str) -> DataFrame:
+    """The rows of ``asked`` with ``__mark``: the ``mark`` of the last row of ``marks`` whose ``x`` is not larger.
+
+    Both are put into one order, each asked row carries the last mark before it forward, inside ranges and
+    then over their edges; there is no join of all with all.
+    """
+    both = marks.select(x, F.lit(0).alias("__kind"), F.col(mark).alias("__m"), F.lit(None).cast(asked.drop(x).schema.simpleString()).alias("__asked"))
+    both = both.unionByName(asked.select(x, F.lit(1).alias("__kind"), F.lit(None).cast(marks.schema[mark].dataType).alias("__m"), F.struct(*asked.drop(x).columns).alias("__asked")))
+    ranged = with_ranges(both, [x, "__kind"])
+    inner = W.partitionBy("__range").orderBy(x, "__kind").rowsBetween(W.unboundedPreceding, 0)
+    lasts = ranged.groupBy("__range").agg(F.max_by("__m", F.when(F.col("__kind") == 0, F.col(x))).alias("__l"))
+    edges = lasts.withColumn("__edge", F.last("__l", ignorenulls=True).over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).drop("__l")  # one row per range
+    out = ranged.withColumn("__in", F.last("__m", ignorenulls=True).over(inner)).join(F.broadcast(edges), "__range").where("__kind = 1")
+    return out.select(x, "__asked.*", F.coalesce("__in", "__edge").alias("__mark"))
 
 
 def runs(df: DataFrame, order: list[str], key: str) -> DataFrame:
     """The rows with ``run``, the number from 1 of the run of equal consecutive keys they are in."""
-    changed = previous(df, order, [key]).withColumn("__new", F.when(F.col("is_first") | ~F.col(key).eqNullSafe(F.col(f"prev_{key}")), 1).otherwise(0))
-    return scan(changed, order, F.col("__new"), "run").drop("__new", f"prev_{key}", "is_first")
+    seen = _preceded(with_ranges(df, order), order, [key])
+    changed = F.when(F.col("is_first") | ~F.col(key).eqNullSafe(F.col(f"prev_{key}")), 1).otherwise(0)
+    return _scanned(seen, order, changed, "run").drop("__range", f"prev_{key}", "is_first")
 
 
 def runlength_encode(df: DataFrame, order: list[str], key: str) -> DataFrame:
@@ -113,6 +140,14 @@ def bounds(values: DataFrame, queries: DataFrame, value: str, query: str) -> Dat
     return out.where("q = 1").select(F.col("x").alias(query), (F.col("upper") - F.col("n")).alias("lower"), "upper")
 
 
+def find_pivot(df: DataFrame, order: list[str], test: Column) -> DataFrame:
+    """``pivot``: how many rows come, in the order, before the first one that passes a test which all rows after
+    it pass too; null if none passes.  A count, no sort."""
+    key = F.struct(*order)
+    first = F.min(F.when(test, key)).alias("__first")
+    return df.agg(F.count_if(~test).alias("n"), first).select(F.when(F.col("__first").isNotNull(), F.col("n")).alias("pivot"))
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group (a bounded priority queue)."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
@@ -182,36 +217,46 @@ def semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- trees
 
 
-def prefix_trie(strings: DataFrame, seq: str = "seq", depth: int = 12) -> DataFrame:
+def prefix_trie(strings: DataFrame, seq: str = "seq", depth: int | None = None) -> DataFrame:
     """Nodes of the trie of all strings: ``prefix, n`` (strings below), ``leaf`` (a string ends here), ``children``.
 
-    Prefixes to ``depth`` are nodes, as far as a sorted dictionary needs them.
+    With ``depth`` only the nodes to that depth.
     """
     s = strings.select(F.col(seq).alias("s"))
-    nodes = s.select(F.explode(F.sequence(F.lit(0), F.least(F.length("s"), F.lit(depth)))).alias("d"), "s").select(F.left("s", F.col("d")).alias("prefix"), (F.length("s") == F.col("d")).alias("end"))
+    most = F.length("s") if depth is None else F.least(F.length("s"), F.lit(depth))
+    nodes = s.select(F.explode(F.sequence(F.lit(0), most)).alias("d"), "s").select(F.left("s", F.col("d")).alias("prefix"), (F.length("s") == F.col("d")).alias("end"))
     nodes = nodes.groupBy("prefix").agg(F.count("*").alias("n"), F.bool_or("end").alias("leaf"))
     kids = nodes.where("prefix <> ''").groupBy(F.expr("left(prefix, length(prefix) - 1)").alias("up")).agg(F.count("*").alias("children"))
     return nodes.join(kids, nodes.prefix == kids.up, "left").select("prefix", "n", "leaf", F.coalesce("children", F.lit(0)).alias("children"))
 
 
-def suffix_trie(strings: DataFrame, seq: str = "seq", depth: int = 8) -> DataFrame:
-    """The trie of all suffixes."""
+def suffix_trie(strings: DataFrame, seq: str = "seq", depth: int | None = None) -> DataFrame:
+    """The trie of all suffixes, whole or to ``depth``.  Equal suffixes are counted before they are taken apart;
+    the whole trie has a node for each different infix."""
     s = strings.select(F.col(seq).alias("s"))
-    ends = s.select(F.explode(F.sequence(F.lit(0), F.length("s"))).alias("b"), "s").select(F.expr(f"substring(s, b + 1, {depth})").alias("x"), (F.length("s") - F.col("b") <= depth).alias("whole"))
+    if depth is None:
+        taken, whole = F.expr("substring(s, b + 1)"), F.lit(True)
+    else:
+        taken, whole = F.expr(f"substring(s, b + 1, {depth})"), F.length("s") - F.col("b") <= depth
+    ends = s.select(F.explode(F.sequence(F.lit(0), F.length("s"))).alias("b"), "s").select(taken.alias("x"), whole.alias("whole"))
     grown = ends.groupBy("x", "whole").agg(F.count("*").alias("c"))
     nodes = grown.select(F.explode(F.sequence(F.lit(0), F.length("x"))).alias("d"), "x", "whole", "c").select(F.left("x", F.col("d")).alias("prefix"), ((F.length("x") == F.col("d")) & F.col("whole")).alias("end"), "c")
     return nodes.groupBy("prefix").agg(F.sum("c").alias("n"), F.bool_or("end").alias("leaf"))
 
 
+def sum_tree_update(leaves: DataFrame, changes: DataFrame, order: str, weight: str, mode: str = "add") -> DataFrame:
+    """The leaves with changed weights (``changes``: leaf and weight): added up, or set to the largest one given."""
+    if mode not in ("add", "set"):
+        raise ValueError("mode is add or set")
+    new = changes.groupBy(F.col(order).alias("__k")).agg((F.sum(weight) if mode == "add" else F.max(weight)).alias("__w"))
+    value = F.col(weight) + F.coalesce("__w", F.lit(0)) if mode == "add" else F.coalesce("__w", weight)
+    return leaves.join(new, F.col(order) == F.col("__k"), "left").withColumn(weight, value).drop("__k", "__w")
+
+
 def sum_tree_sample(leaves: DataFrame, order: str, weight: str, draws: DataFrame, draw: str) -> DataFrame:
     """For each ``draw`` in [0, 1) the leaf in which the running sum of weights reaches it."""
     total = leaves.agg(F.sum(weight)).first()[0] or 0
     run = scan(leaves, [order], F.col(weight), "upto").where(F.col(weight) > 0)
-    marks = run.select((F.col("upto") - F.col(weight)).cast("double").alias("x"), F.col(order).alias("leaf"), F.lit(None).cast("double").alias("d"))
-    asked = draws.select((F.col(draw) * float(total)).alias("x"), F.lit(None).cast(leaves.schema[order].dataType).alias("leaf"), F.col(draw).cast("double").alias("d"))
-    both = with_ranges(marks.unionByName(asked), "x").withColumn("__kind", F.when(F.col("d").isNull(), 0).otherwise(1))
-    inner = W.partitionBy("__range").orderBy("x", "__kind").rowsBetween(W.unboundedPreceding, 0)
-    lasts = both.groupBy("__range").agg(F.max_by("leaf", F.when(F.col("d").isNull(), F.col("x"))).alias("__l"))
-    edges = lasts.withColumn("__edge", F.last("__l", ignorenulls=True).over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))).drop("__l")
-    out = both.withColumn("__leaf", F.last("leaf", ignorenulls=True).over(inner)).join(F.broadcast(edges), "__range")
-    return out.where("d IS NOT NULL").select(F.col("d").alias(draw), F.coalesce("__leaf", "__edge").alias("leaf"))
+    marks = run.select((F.col("upto") - F.col(weight)).cast("double").alias("x"), F.col(order).alias("leaf"))
+    asked = draws.select((F.col(draw) * float(total)).alias("x"), F.col(draw))
+    return last_marks(marks, asked, "x", "leaf").select(draw, F.col("__mark").alias("leaf"))

@@ -82,3 +82,35 @@ def page(found: DataFrame, order: list[str], begin: int, end: int) -> DataFrame:
     """Hits [begin, end) in the order of ``order`` (a total order), with their number ``hit``."""
     numbered = scan(found, order, F.lit(1), "hit").withColumn("hit", F.col("hit") - 1)
     return numbered.where((F.col("hit") >= begin) & (F.col("hit") < end))
+
+
+#: Q-grams of one word of a group index.
+WORD = 32
+
+
+def group_index(postings: DataFrame, q: int) -> tuple[DataFrame, DataFrame]:
+    """A q-group index of ``postings``: words and slots.
+
+    Words (``word, bits, before``) say which of the ``WORD`` q-gram numbers of a word occur, and how many
+    occur in the words before; the i-th occurring number has the half-open range ``begin, end`` of slots
+    (``nth, code, n, begin, end``) in the order of the numbers.  Words without a q-gram are left out, as the
+    number of all possible ones grows with the alphabet's q-th power.
+    """
+    coded = postings.groupBy(S.qgram_code(F.col("qgram"), q).alias("code")).agg(F.count("*").alias("n"))
+    slots_ = scan(coded, ["code"], F.col("n"), "end").select("code", "n", (F.col("end") - F.col("n")).alias("begin"), "end")
+    slots_ = scan(slots_, ["code"], F.lit(1), "nth", exclusive=True)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("code"), F.lit(WORD)).cast("int"))
+    words = slots_.groupBy(F.floor(F.col("code") / WORD).alias("word")).agg(F.sum(bit).alias("bits"), F.min("nth").alias("before"))
+    return words, slots_
+
+
+def group_range(queries: DataFrame, words: DataFrame, slots_: DataFrame, q: int) -> DataFrame:
+    """``queries`` (``qgram``) with ``begin, end``: a word tells whether a q-gram occurs and, by the bits below
+    its own, the number of its slots; null where it does not occur."""
+    asked = queries.withColumn("__code", S.qgram_code(F.col("qgram"), q))
+    at = F.pmod(F.col("__code"), F.lit(WORD)).cast("int")
+    met = asked.join(words.select(F.col("word").alias("__w"), "bits", "before"), F.floor(F.col("__code") / WORD) == F.col("__w"), "left")
+    here = F.call_function("shiftright", F.col("bits"), at).bitwiseAND(1) == 1
+    below = F.bit_count(F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at) - 1))
+    met = met.withColumn("__nth", F.when(here, F.col("before") + below))
+    return met.join(slots_.select(F.col("nth").alias("__k"), "begin", "end"), F.col("__nth") == F.col("__k"), "left").select(*queries.columns, "begin", "end")

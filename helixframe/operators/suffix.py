@@ -111,3 +111,41 @@ def sample_by_row(sa: DataFrame, every: int) -> DataFrame:
     """The sampled suffix array of every ``every``-th row."""
     return sa.where(F.col("sa_rank") % every == 0)
 
+
+def rank_range(sa: DataFrame, ranges: DataFrame, keys: list[str], begin: str = "begin", end: str = "end") -> DataFrame:
+    """``ranges`` (``keys`` and half-open row ranges) with ``begin_a .. begin_t`` and ``end_a .. end_t``: how often
+    each symbol occurs in the rows before the range's begin and before its end.
+
+    Occurrences are joined at the two rows that a range names; row 0 has none before it.
+    """
+    before = rank_all(sa, keys).select(*(F.col(k).alias(f"__{k}") for k in keys), (F.col("sa_rank") + 1).alias("__row"), *(F.col(f"rank_{x}") for x in "acgt"))
+    out = ranges
+    for side, col in (("begin", begin), ("end", end)):
+        test = F.col(col) == F.col("__row")
+        for k in keys:
+            test = test & (F.col(k) == F.col(f"__{k}"))
+        out = out.join(before, test, "left").withColumns({f"{side}_{x}": F.coalesce(f"rank_{x}", F.lit(0)) for x in "acgt"}).drop("__row", *(f"__{k}" for k in keys), *(f"rank_{x}" for x in "acgt"))
+    return out
+
+
+def walk_to_sample(sa: DataFrame, every: int, keys: list[str]) -> DataFrame:
+    """``keys, sa_rank, at, steps``: the sampled row that is reached from each row by steps that each lengthen the
+    suffix by a symbol, and their number; a row is sampled if its place is a multiple of ``every``.
+
+    The number of steps is the place's rest, so the walk is one join on string and place.
+    """
+    sample = sample_by_value(sa, every).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("pos").alias("__pos"), F.col("sa_rank").alias("at"))
+    steps = F.pmod(F.col("pos"), F.lit(every))
+    test = F.col("pos") - steps == F.col("__pos")
+    for k in keys:
+        test = test & (F.col(k) == F.col(f"__{k}"))
+    return sa.join(sample, test).select(*keys, "sa_rank", "at", steps.cast("long").alias("steps"))
+
+
+def look_up(walks: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, sa_rank, pos``: the places of walked rows, from the sample's places and the steps."""
+    s = sample.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("sa_rank").alias("__row"), F.col("pos").alias("__pos"))
+    test = F.col("at") == F.col("__row")
+    for k in keys:
+        test = test & (F.col(k) == F.col(f"__{k}"))
+    return walks.join(s, test).select(*keys, "sa_rank", (F.col("__pos") + F.col("steps")).alias("pos"))

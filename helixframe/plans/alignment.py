@@ -31,9 +31,10 @@ def _candidates(spark, d, least=2):
     """``doc_id, item_id, diag, pattern, text``: diagonals with ``least`` shared seeds, with the document's
     window around the item."""
     found = qgram_diagonal_count(spark, d).where(F.col("n") >= least)
-    both = found.join(items(spark, d).withColumnRenamed("seq", "pattern"), "item_id").join(docs(spark, d), "doc_id")
-    begin = F.greatest(F.col("diag") - 16, F.lit(0)).cast("int")
-    return both.select("doc_id", "item_id", "diag", "n", "pattern", begin.cast("long").alias("begin"), S.infix(F.col("seq"), begin, begin + F.length("pattern") + 48).alias("text")).where("text <> ''")
+    both = found.join(items(spark, d).withColumnRenamed("seq", "pattern"), "item_id").withColumn("ref_id", F.col("doc_id"))
+    refs, most = docs(spark, d).withColumnRenamed("doc_id", "ref_id"), items(spark, d).agg(F.max(F.length("seq"))).first()[0] or 0
+    cases = G.windows(both, refs, F.greatest(F.col("diag") - 16, F.lit(0)), F.length("pattern") + 48, most + 48)
+    return cases.select("doc_id", "item_id", "diag", "n", "pattern", "begin", "text").where("text <> ''")
 
 
 def score_sql(pairs: str, keys: str, scheme: A.Scheme, kind: str, quality: bool = False) -> str:
@@ -367,6 +368,59 @@ def aligner(spark, d):
     return out.select("read_id", *(_L(c) for c in ("flag", "ref_id", "pos", "score", "second_score", "mapq", "ed")), "cigar", "md")
 
 
+def paired_aligner(spark, d):
+    """Both ends of each document's first 160 symbols as mates, aligned to the documents as pairs."""
+    rows = docs(spark, d).where(F.length("seq") >= 160)
+    first = rows.select(F.col("doc_id").alias("read_id"), F.left("seq", F.lit(50)).alias("seq"))
+    second = rows.select(F.col("doc_id").alias("read_id"), S.reverse_complement(S.infix(F.col("seq"), F.lit(110), F.lit(160))).alias("seq"))
+    refs = rows.select(F.col("doc_id").alias("ref_id"), F.left("seq", F.lit(2000)).alias("seq"))
+    out = G.align_pairs(first, second, refs, G.Options(seed=20, interval=10, max_hits=200), G.Pairing(max_fragment=300))
+    return out.select("read_id", *(_L(c) for c in ("mate", "flag", "score", "pair_score", "mapq", "tlen", "ed")), "cigar", "md")
+
+
+def mapq_filter(spark, d):
+    rows = best2(spark, d).select("doc_id", H.mapq("best_score", "second_score", "1", "6").alias("mapq"))
+    return H.filter_mapq(rows, 20).select("doc_id", _L("mapq"), "mapped")
+
+
+def select_random(spark, d):
+    """Two diagonals of each document drawn by their hits."""
+    from ..operators.primitives import uniform
+
+    c = qgram_diagonal_count(spark, d)
+    drawn = H.select_random(c, "doc_id", 2, F.col("n"), uniform(F.concat_ws("/", "doc_id", "item_id", "diag"), 3))
+    return drawn.select("doc_id", _L("rank"), "item_id", "diag")
+
+
+def target_scores(spark, d):
+    b = best2(spark, d)
+    return b.select("doc_id", G.target_score(F.col("best_score"), F.col("second_score"), F.lit(1)).cast("long").alias("target"))
+
+
+def best2_pairs(spark, d):
+    """The best two pairs of a document's hits, or its best two hits where it has no pair."""
+    s = _scored(spark, d).select("doc_id", F.lit(0).alias("ref_id"), "pos", "strand", "score", F.lit(16).cast("long").alias("length"))
+    pairs = H.pair_up(s.where("strand = '+'"), s.where("strand = '-'"), "doc_id", 200)
+    return G.best_two_pairs(pairs, s, "doc_id", 50).select("doc_id", "paired", "best_score", "best_pos", "best_strand", "second_score", "second_pos", "second_strand")
+
+
+def mate_windows(spark, d):
+    """Where the other mate is expected, by policy."""
+    rows = docs(spark, d).select("doc_id", F.length("seq").cast("long").alias("pos"), F.explode(F.array(*map(F.lit, ("FR", "RF", "FF", "RR")))).alias("policy"))
+    first, forward = F.pmod(F.col("doc_id"), F.lit(2)) == 0, F.pmod(F.col("doc_id"), F.lit(3)) == 0
+    left = right = F.lit(None).cast("boolean")
+    for p in ("FR", "RF", "FF", "RR"):
+        a, b = H.opposite_mate(p, first, forward)
+        left, right = F.when(F.col("policy") == p, a).otherwise(left), F.when(F.col("policy") == p, b).otherwise(right)
+    begin, end = H.mate_window(F.col("pos"), F.lit(50).cast("long"), left, 0, 300)
+    return rows.select("doc_id", "policy", left.alias("left"), right.alias("forward"), begin.alias("begin"), end.alias("end"))
+
+
+def band_lengths(spark, d):
+    n = F.pmod(F.col("doc_id"), F.lit(200))
+    return docs(spark, d).select("doc_id", S.band_of(n).alias("band"))
+
+
 def gap_room(spark, d):
     n = F.length("seq").cast("long")
     least = F.floor(n * 0.6)
@@ -415,5 +469,19 @@ b AS (SELECT item_id, score, e AS "end" FROM en QUALIFY row_number() OVER (PARTI
 o AS (SELECT en.item_id, en.score AS second_score, e AS second_end FROM en JOIN b USING (item_id) WHERE abs(e - "end") > 8 QUALIFY row_number() OVER (PARTITION BY en.item_id ORDER BY en.score DESC, e DESC) = 1)
 SELECT item_id, score, "end", second_score, second_end FROM b LEFT JOIN o USING (item_id)"""),
     "aligner": (aligner, None),
+    "paired_aligner": (paired_aligner, None),
+    "mapq_filter": (mapq_filter, f"{BEST2}, q AS (SELECT doc_id, ({H.mapq_sql('best_score', 'second_score', '1', '6')})::BIGINT AS q FROM b2) SELECT doc_id, CASE WHEN q < 20 THEN 0 ELSE q END AS mapq, q >= 20 AS mapped FROM q"),
+    "select_random": (select_random, f"""{SCORED}, u AS (SELECT *, -ln((('0x' || substr(md5('3:' || doc_id || '/' || item_id || '/' || diag), 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE) / n AS w FROM c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS rank, item_id, diag FROM u QUALIFY rank <= 2"""),
+    "target_scores": (target_scores, f"{BEST2} SELECT doc_id, CASE WHEN second_score IS NULL THEN 1 ELSE second_score + trunc((best_score - second_score) * 3 / 4.0) END::BIGINT AS target FROM b2"),
+    "best2_pairs": (best2_pairs, f"""{SCORED}, pr AS (SELECT a.doc_id, a.pos, '+-' AS strand, a.score + o.score AS score FROM sc a JOIN sc o ON a.doc_id = o.doc_id AND a.strand = '+' AND o.strand = '-' AND o.pos >= a.pos AND o.pos + 16 <= a.pos + 200),
+e AS (SELECT *, true AS paired FROM pr UNION ALL SELECT doc_id, pos, strand, score, false FROM sc WHERE doc_id NOT IN (SELECT doc_id FROM pr)),
+t AS (SELECT doc_id, paired, score AS best_score, pos AS best_pos, strand AS best_strand FROM e QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, strand) = 1),
+s2 AS (SELECT doc_id, score AS second_score, pos AS second_pos, strand AS second_strand FROM e JOIN t USING (doc_id) WHERE strand <> best_strand OR abs(pos - best_pos) > 50 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, strand) = 1)
+SELECT doc_id, paired, best_score, best_pos, best_strand, second_score, second_pos, second_strand FROM t LEFT JOIN s2 USING (doc_id)"""),
+    "mate_windows": (mate_windows, f"""WITH {DOCS}, r AS (SELECT doc_id, length(seq) AS pos, unnest(['FR', 'RF', 'FF', 'RR']) AS policy, doc_id % 2 = 0 AS a, doc_id % 3 = 0 AS f FROM dna),
+w AS (SELECT *, CASE policy WHEN 'FR' THEN NOT f WHEN 'RF' THEN f WHEN 'FF' THEN a <> f ELSE a = f END AS "left", CASE WHEN policy IN ('FF', 'RR') THEN f ELSE NOT f END AS forward FROM r)
+SELECT doc_id, policy, "left", forward, CASE WHEN "left" THEN greatest(pos + 50 - 300, 0) ELSE pos END AS begin, CASE WHEN "left" THEN pos + 50 ELSE pos + 300 END AS "end" FROM w"""),
+    "band_lengths": (band_lengths, "SELECT doc_id, ((1 << length(bin((doc_id % 200) * 2 + 1))) - 1)::BIGINT AS band FROM documents"),
     "gap_room": (gap_room, f"WITH x AS (SELECT doc_id, length(upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g'))) AS n FROM documents), y AS (SELECT doc_id, n, floor(n * 0.6::DOUBLE) AS m FROM x) SELECT doc_id, {_GAP(-5)} AS affine, {_GAP(0)} AS linear FROM y"),
 }

@@ -96,13 +96,53 @@ def bloom_semi(spark, d):
 
 
 def prefix_trie(spark, d):
-    return P.prefix_trie(items(spark, d), depth=8)
+    return P.prefix_trie(items(spark, d))
 
 
 def suffix_trie(spark, d):
+    """The whole trie of the items' suffixes: a node for each different infix."""
+    return P.suffix_trie(items(spark, d))
+
+
+def suffix_dictionary(spark, d):
+    """The dictionary of the documents' infixes of up to six symbols."""
     return P.suffix_trie(docs(spark, d), depth=6)
 
 
+def sum_tree_update(spark, d):
+    """Weights added to and set, and the leaves that draws then reach."""
+    leaves = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("w"))
+    few = leaves.where("p_partkey % 5 = 0")
+    leaves = P.sum_tree_update(leaves, few.select("p_partkey", F.lit(7).cast("long").alias("w")), "p_partkey", "w")
+    leaves = P.sum_tree_update(leaves, few.where("p_partkey % 2 = 0").select("p_partkey", F.lit(0).cast("long").alias("w")), "p_partkey", "w", "set")
+    draws = table(spark, d, "supplier").select(((F.col("s_suppkey") * 37) % 101 / 101.0).alias("u")).distinct()
+    return P.sum_tree_sample(leaves, "p_partkey", "w", draws, "u").select(F.round(F.col("u") * 101).cast("long").alias("k"), "leaf")
+
+
+def find_pivot(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey")
+    key = F.col("o_orderkey")
+    parts = [P.find_pivot(rows, ["o_orderkey"], key > n).select(F.lit(n).cast("long").alias("least"), "pivot") for n in (0, 100, 1500, 10**9)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def rounding(spark, d):
+    """Whole divisions, multiples, logarithms and bits of order keys."""
+    from ..functions import sequence as S
+
+    x = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", S.divide_up(x, 7).alias("up"), S.round_up(x, 8).alias("next"), S.round_down(x, 8).alias("last"), S.log2_whole(x).alias("log"), S.popcount(x).alias("bits"))
+
+
+def lcg_random(spark, d):
+    """Three numbers of a congruential sequence from each order key."""
+    from ..functions import sequence as S
+
+    a = S.lcg_next(F.col("o_orderkey").cast("long"))
+    rows = table(spark, d, "orders").select("o_orderkey", a.alias("a")).withColumn("b", S.lcg_next(F.col("a"))).withColumn("c", S.lcg_next(F.col("b")))
+    return rows
+
+
 _RUNS = "x AS (SELECT event_id, event_type, user_id, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) AND row_number() OVER (ORDER BY event_id) > 1 THEN 0 ELSE 1 END AS c FROM events), r AS (SELECT *, sum(c) OVER (ORDER BY event_id)::BIGINT AS run FROM x)"
 _U = "((('0x' || substr(md5('7:' || o_orderkey), 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE)"
 QUERIES = {
@@ -121,6 +161,11 @@ QUERIES = {
     "weighted_sample": (weighted_sample, f"SELECT o_orderkey FROM orders WHERE o_totalprice > 0 ORDER BY -ln({_U}) / o_totalprice, o_orderkey LIMIT 100"),
     "sum_tree": (sum_tree, "WITH l AS (SELECT p_partkey, p_size::BIGINT AS w, sum(p_size) OVER (ORDER BY p_partkey)::BIGINT AS u FROM part), d AS (SELECT DISTINCT ((s_suppkey * 37) % 101)::BIGINT AS k FROM supplier) SELECT k, (SELECT p_partkey FROM l WHERE w > 0 AND u > k / 101.0::DOUBLE * (SELECT sum(p_size) FROM part) ORDER BY p_partkey LIMIT 1) AS leaf FROM d"),
     "bloom_semi": (bloom_semi, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)"),
-    "prefix_trie": (prefix_trie, f"WITH {ITEMS}, n AS (SELECT substr(seq, 1, d) AS prefix, count(*) AS n, bool_or(length(seq) = d) AS leaf FROM (SELECT seq, unnest(range(0, least(length(seq), 8) + 1)) AS d FROM ref) GROUP BY 1), k AS (SELECT substr(prefix, 1, length(prefix) - 1) AS prefix, count(*) AS children FROM n WHERE prefix <> '' GROUP BY 1) SELECT prefix, n, leaf, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (prefix)"),
-    "suffix_trie": (suffix_trie, f"WITH {DOCS}, s AS (SELECT substr(seq, b + 1, 6) AS x, length(seq) - b <= 6 AS whole FROM (SELECT seq, unnest(range(0, length(seq) + 1)) AS b FROM dna)), p AS (SELECT x, whole, unnest(range(0, length(x) + 1)) AS d FROM s) SELECT substr(x, 1, d) AS prefix, count(*) AS n, bool_or(length(x) = d AND whole) AS leaf FROM p GROUP BY 1"),
+    "prefix_trie": (prefix_trie, f"WITH {ITEMS}, n AS (SELECT substr(seq, 1, d) AS prefix, count(*) AS n, bool_or(length(seq) = d) AS leaf FROM (SELECT seq, unnest(range(0, length(seq) + 1)) AS d FROM ref) GROUP BY 1), k AS (SELECT substr(prefix, 1, length(prefix) - 1) AS prefix, count(*) AS children FROM n WHERE prefix <> '' GROUP BY 1) SELECT prefix, n, leaf, coalesce(children, 0) AS children FROM n LEFT JOIN k USING (prefix)"),
+    "suffix_trie": (suffix_trie, f"WITH {ITEMS}, s AS (SELECT substr(seq, b + 1) AS x FROM (SELECT seq, unnest(range(0, length(seq) + 1)) AS b FROM ref)), p AS (SELECT x, unnest(range(0, length(x) + 1)) AS d FROM s) SELECT substr(x, 1, d) AS prefix, count(*) AS n, bool_or(length(x) = d) AS leaf FROM p GROUP BY 1"),
+    "suffix_dictionary": (suffix_dictionary, f"WITH {DOCS}, s AS (SELECT substr(seq, b + 1, 6) AS x, length(seq) - b <= 6 AS whole FROM (SELECT seq, unnest(range(0, length(seq) + 1)) AS b FROM dna)), p AS (SELECT x, whole, unnest(range(0, length(x) + 1)) AS d FROM s) SELECT substr(x, 1, d) AS prefix, count(*) AS n, bool_or(length(x) = d AND whole) AS leaf FROM p GROUP BY 1"),
+    "sum_tree_update": (sum_tree_update, "WITH v AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 0 WHEN p_partkey % 5 = 0 THEN p_size + 7 ELSE p_size END::BIGINT AS w FROM part), l AS (SELECT p_partkey, w, sum(w) OVER (ORDER BY p_partkey)::BIGINT AS u FROM v), d AS (SELECT DISTINCT ((s_suppkey * 37) % 101)::BIGINT AS k FROM supplier) SELECT k, (SELECT p_partkey FROM l WHERE w > 0 AND u > k / 101.0::DOUBLE * (SELECT sum(w) FROM v) ORDER BY p_partkey LIMIT 1) AS leaf FROM d"),
+    "find_pivot": (find_pivot, "SELECT t.least, CASE WHEN max(o_orderkey) > t.least THEN count(*) FILTER (o_orderkey <= t.least) END AS pivot FROM orders, (SELECT unnest([0, 100, 1500, 1000000000])::BIGINT AS least) t GROUP BY t.least"),
+    "rounding": (rounding, "SELECT o_orderkey, (o_orderkey + 6) // 7 AS up, (o_orderkey + 7) // 8 * 8 AS next, o_orderkey // 8 * 8 AS last, length(bin(o_orderkey)) - 1 AS log, bit_count(o_orderkey)::BIGINT AS bits FROM orders"),
+    "lcg_random": (lcg_random, "WITH a AS (SELECT o_orderkey, (o_orderkey::HUGEINT * 1664525 + 1013904223) % 4294967296 AS a FROM orders), b AS (SELECT *, (a * 1664525 + 1013904223) % 4294967296 AS b FROM a) SELECT o_orderkey, a::BIGINT AS a, b::BIGINT AS b, ((b * 1664525 + 1013904223) % 4294967296)::BIGINT AS c FROM b"),
 }

@@ -94,8 +94,8 @@ def fm_locate(spark, d):
 
 
 def fm_match_reverse(spark, d):
-    p = _patterns(spark, d).withColumn("pattern", F.reverse("pattern")).withColumn("pattern_id", F.struct("doc_id", "begin"))
-    return R.count(p, _texts(spark, d)).select("pattern_id.doc_id", "pattern_id.begin", "n")
+    p = _patterns(spark, d).withColumn("pattern_id", F.struct("doc_id", "begin"))
+    return R.match_reverse(p, _texts(spark, d)).select("pattern_id.doc_id", "pattern_id.begin", "n")
 
 
 def _long_patterns(spark, d):
@@ -117,9 +117,32 @@ def mem(spark, d):
     return R.mems(reads, _texts(spark, d), 12).select(F.col("read_id").alias("doc_id"), F.col("text_id").alias("item_id"), "begin", "end", "text_pos")
 
 
+def mem_frequent(spark, d):
+    """Longest matches that occur twice or more in the items, of 13 symbols or more."""
+    reads = docs(spark, d).withColumnRenamed("doc_id", "read_id")
+    found = R.mems(reads, _texts(spark, d), 12, min_count=2, min_span=13)
+    return found.groupBy(F.col("read_id").alias("doc_id"), "begin", "end").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "text_pos")).alias("x")).select("doc_id", "begin", "end", "n", F.col("x.text_id").alias("item_id"), F.col("x.text_pos").alias("text_pos"))
+
+
+def rank_two_ended(spark, d):
+    """Symbols before the begin and the end of each item's middle half of rows."""
+    sa = _sa(spark, d)
+    ranges = sa.groupBy("item_id").agg(F.floor(F.max("sa_rank") / 4).alias("begin"), F.floor(F.max("sa_rank") * 3 / 4).alias("end"))
+    return X.rank_range(sa, ranges, ["item_id"]).select("item_id", "begin", "end", *(_L(f"{s}_{x}") for s in ("begin", "end") for x in "acgt"))
+
+
+def inv_psi_walk(spark, d):
+    return X.walk_to_sample(_sa(spark, d), 8, ["item_id"])
+
+
+def ssa_lookup(spark, d):
+    sa = _sa(spark, d)
+    return X.look_up(X.walk_to_sample(sa, 8, ["item_id"]), X.sample_by_value(sa, 8), ["item_id"]).select("item_id", "sa_rank", _L("pos"))
+
+
 def whole_read(spark, d):
     """Items as reads, exact on both strands, in the documents."""
-    reads = items(spark, d).where(F.length("seq") >= 20)
+    reads = items(spark, d)
     texts = docs(spark, d).select(F.col("doc_id").alias("text_id"), F.col("seq").alias("text_seq"))
     return R.whole_reads(reads, texts).select("item_id", "strand", F.col("text_id").alias("doc_id"), _L("text_pos"))
 
@@ -150,5 +173,15 @@ b AS (SELECT item_id, j, substr(seq, j + 1, 12) AS g FROM (SELECT item_id, seq,
 x AS (SELECT doc_id, item_id, i, j - i AS d, i - row_number() OVER (PARTITION BY doc_id, item_id, j - i ORDER BY i) AS island FROM a JOIN b USING (g)),
 s AS (SELECT doc_id, item_id, d, min(i) AS b, max(i) + 12 AS e FROM x GROUP BY doc_id, item_id, d, island)
 SELECT doc_id, item_id, b AS begin, e AS "end", b + d AS text_pos FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.b <= s.b AND o.e >= s.e AND (o.b < s.b OR o.e > s.e))"""),
-    "whole_read": (whole_read, f"WITH {DOCS}, {ITEMS}, r AS (SELECT item_id, seq, 'forward' AS strand FROM ref WHERE length(seq) >= 20 UNION ALL SELECT item_id, reverse(translate(seq, 'ACGT', 'TGCA')), 'reverse_complement' FROM ref WHERE length(seq) >= 20), l AS (SELECT DISTINCT length(seq) AS n FROM r), w AS (SELECT doc_id, n, unnest(range(0, length(seq) - n + 1)) AS b, seq FROM dna, l WHERE length(seq) >= n), g AS (SELECT doc_id, b, substr(seq, b + 1, n) AS seq FROM w) SELECT item_id, strand, doc_id, b AS text_pos FROM r JOIN g USING (seq)"),
+    "mem_frequent": (mem_frequent, f"""WITH {DOCS}, {ITEMS},
+a AS (SELECT doc_id, i, substr(seq, i + 1, 12) AS g FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 12 + 1)) AS i FROM dna WHERE length(seq) >= 12)),
+b AS (SELECT item_id, j, substr(seq, j + 1, 12) AS g FROM (SELECT item_id, seq, unnest(range(0, length(seq) - 12 + 1)) AS j FROM ref WHERE length(seq) >= 12)),
+x AS (SELECT doc_id, item_id, i, j - i AS d, i - row_number() OVER (PARTITION BY doc_id, item_id, j - i ORDER BY i) AS island FROM a JOIN b USING (g)),
+s AS (SELECT doc_id, item_id, d, min(i) AS b, max(i) + 12 AS e FROM x GROUP BY doc_id, item_id, d, island),
+p AS (SELECT DISTINCT l.doc_id, l.b, r.e FROM s l JOIN s r ON l.doc_id = r.doc_id AND r.e - l.b >= 13), f AS (SELECT p.doc_id, p.b, p.e, count(*) AS n, min((item_id, p.b + d)) AS x FROM p JOIN s ON s.doc_id = p.doc_id AND s.b <= p.b AND s.e >= p.e GROUP BY p.doc_id, p.b, p.e HAVING count(*) >= 2)
+SELECT doc_id, b AS begin, e AS "end", n, x[1] AS item_id, x[2] AS text_pos FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.doc_id = f.doc_id AND o.b <= f.b AND o.e >= f.e AND (o.b < f.b OR o.e > f.e))"""),
+    "rank_two_ended": (rank_two_ended, f"WITH {SA}, r AS (SELECT item_id, max(sa_rank) // 4 AS b, max(sa_rank) * 3 // 4 AS e FROM sa GROUP BY item_id) SELECT item_id, b AS begin, e AS \"end\", " + ", ".join(f"count(*) FILTER (prev = '{x.upper()}' AND sa_rank < {s[0]}) AS {s}_{x}" for s in ("begin", "end") for x in "acgt") + " FROM sa JOIN r USING (item_id) GROUP BY item_id, b, e"),
+    "inv_psi_walk": (inv_psi_walk, f"WITH {SA} SELECT a.item_id, a.sa_rank, b.sa_rank AS at, a.pos % 8 AS steps FROM sa a JOIN sa b ON a.item_id = b.item_id AND b.pos = a.pos - a.pos % 8"),
+    "ssa_lookup": (ssa_lookup, f"WITH {SA} SELECT item_id, sa_rank, pos FROM sa"),
+    "whole_read": (whole_read, f"WITH {DOCS}, {ITEMS}, r AS (SELECT item_id, seq, 'forward' AS strand FROM ref WHERE seq <> '' UNION ALL SELECT item_id, reverse(translate(seq, 'ACGT', 'TGCA')), 'reverse_complement' FROM ref WHERE seq <> ''), l AS (SELECT DISTINCT length(seq) AS n FROM r), w AS (SELECT doc_id, n, unnest(range(0, length(seq) - n + 1)) AS b, seq FROM dna, l WHERE length(seq) >= n), g AS (SELECT doc_id, b, substr(seq, b + 1, n) AS seq FROM w) SELECT item_id, strand, doc_id, b AS text_pos FROM r JOIN g USING (seq)"),
 }

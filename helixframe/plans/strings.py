@@ -145,6 +145,13 @@ def checksum(spark, d):
 
 
 _C = "list_sum(list_transform(range(0, 12), lambda j: (instr('ACGT', substr(qgram, j + 1, 1)) - 1) * (1::BIGINT << (2 * j)::INTEGER)))"
+def qgroup_range(spark, d):
+    """Slot ranges of the documents' seeds in a q-group index of the items."""
+    words, slots = Q.group_index(_post(spark, d), 12)
+    return Q.group_range(_seeds(spark, d).select("doc_id", "doc_pos", "qgram"), words, slots, 12)
+
+
+_CODE12 = "list_sum(list_transform(range(0, 12), lambda j: (instr('ACGT', substr(qgram, j + 1, 1)) - 1)::BIGINT << (2 * j)))::BIGINT"
 QUERIES = {
     "symbol_counts": (symbol_counts, f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"(length(seq) - length(replace(seq, '{x}', '')))::BIGINT AS n_{x.lower()}" for x in "ACGT") + " FROM dna"),
     "revcomp": (revcomp, f"WITH {DOCS} SELECT doc_id, reverse(seq) AS rev, translate(seq, 'ACGT', 'TGCA') AS comp, reverse(translate(seq, 'ACGT', 'TGCA')) AS revcomp FROM dna"),
@@ -171,4 +178,5 @@ QUERIES = {
     "qgram_page": (qgram_page, f"{HITS} SELECT doc_id, doc_pos, item_id, item_pos, row_number() OVER (ORDER BY doc_id, doc_pos, item_id, item_pos) - 1 AS hit FROM hits QUALIFY hit >= 500 AND hit < 1000"),
     "checksum": (checksum, f"WITH {DOCS} SELECT count(*) AS rows, bit_xor(('0x' || substr(md5(doc_id || chr(9) || seq), 1, 15))::BIGINT) AS sum FROM dna"),
     "qgram_rare_hits": (qgram_rare_hits, f"WITH {SEEDS12}, {POST12}, r AS (SELECT qgram FROM post GROUP BY qgram HAVING count(*) <= 2) SELECT doc_id, count(*) AS n FROM seeds JOIN post USING (qgram) SEMI JOIN r USING (qgram) GROUP BY doc_id"),
+    "qgroup_range": (qgroup_range, f"WITH {SEEDS12}, {POST12}, g AS (SELECT qgram, {_CODE12} AS code, count(*) AS n FROM post GROUP BY qgram), r AS (SELECT qgram, (sum(n) OVER (ORDER BY code) - n)::BIGINT AS b, (sum(n) OVER (ORDER BY code))::BIGINT AS e FROM g) SELECT doc_id, doc_pos, qgram, b AS begin, e AS \"end\" FROM seeds LEFT JOIN r USING (qgram)"),
 }

@@ -129,3 +129,30 @@ def test_codes_turn_back(spark):
     got = df.select("g", S.qgram_code(F.col("g"), 4).alias("c")).withColumn("b", S.code_gram(F.col("c"), 4)).collect()
     assert [(r.c, r.b) for r in got] == [(0 + 1 * 4 + 2 * 16 + 3 * 64, "ACGT"), (255, "TTTT"), (0, "AAAA")]
     assert S.band_length(3) == 7 and S.band_length(4) == 15
+
+
+def test_orders_of_many_ranges(spark, monkeypatch):
+    """The same results whatever the number of ranges, with keys that share the first column."""
+    from helixframe.operators import hits as H
+    from helixframe.operators import primitives as P
+
+    rows = [(i // 400, (i * 7919) % 1009, i % 13, "ab"[i // 37 % 2]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a long, b long, v long, k string").repartition(4)
+    refs = spark.createDataFrame([(k, k * 50, 50) for k in range(200)], "ref_id long, offset long, length long")
+    places = spark.createDataFrame([(i, (i * 977) % 10000, 20) for i in range(700)], "hit long, pos long, length long")
+
+    def all_of():
+        scans = [sorted(map(tuple, P.scan(df, ["a", "b"], F.col("v"), "s", exclusive=e).collect())) for e in (False, True)]
+        runs = sorted(map(tuple, P.runlength_encode(df, ["a", "b"], "k").collect()))
+        low = sorted(map(tuple, P.bounds(df, df.select((F.col("v") * 3).alias("x")), "v", "x").collect()))
+        at = sorted(map(tuple, H.to_reference(places, refs).collect()))
+        return scans, runs, low, at
+
+    one = all_of()
+    monkeypatch.setattr(P, "ROWS_PER_RANGE", 64)
+    assert all_of() == one
+    total, want = 0, []
+    for r in sorted(rows):
+        total += r[2]
+        want.append((*r, total))
+    assert one[0][0] == want
