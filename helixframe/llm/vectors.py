@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import connected, cut, read_table
@@ -23,6 +24,9 @@ NEAREST = 8
 SHARED = 2
 #: Members of an inverted list that are compared at once; longer lists are divided into cells.
 CELL = 1024
+#: Members beyond which a list is described anew by reference points of its own, and members described at once.
+LONG = 32 * CELL
+DESCRIBED = 4096
 #: Divided lists that are broadcast to the vectors; beyond that they are joined by a shuffle.
 BROADCAST_LISTS = 50_000
 
@@ -65,9 +69,52 @@ def links_in_cell(perms: np.ndarray, units: np.ndarray, pivot: int, left: np.nda
     return (np.concatenate(out_i) if out_i else none), (np.concatenate(out_j) if out_j else none)
 
 
+def _common(perms: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many reference points the pairs share, and the smallest number of them."""
+    same = (perms[i][:, :, None] == perms[j][:, None, :]).any(axis=2)
+    return same.sum(axis=1), np.where(same, perms[i], np.iinfo(np.int32).max).min(axis=1)
+
+
+def _units(vectors) -> np.ndarray:
+    """Rows of length one, scaled first so that squares can neither overflow nor vanish."""
+    out = np.array(list(vectors), dtype=np.float64)
+    out /= np.abs(out).max(axis=1, keepdims=True)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _sublists(members: DataFrame, lists: DataFrame, few: bool, shared: int) -> DataFrame:
+    """``label, size, pivot, node, perm2``: the members of long lists, described by their list's own reference points.
+
+    ``members`` has ``label, size, pivot, node, v``; ``lists`` the lists and their sizes ``n``.  A list has one
+    reference point for ``VECTORS_PER_PIVOT`` members, those with the smallest hashes, so sublists do not
+    grow with the table; members meet them in blocks of ``DESCRIBED``, and no list is gathered.
+    """
+    keys = ["label", "size", "pivot"]
+    points = F.least(F.greatest(F.floor(F.col("n") / VECTORS_PER_PIVOT), F.lit(PIVOTS[0])), F.lit(PIVOTS[1]))
+    held = members.join(F.broadcast(lists) if few else lists, keys).withColumn("blocks", F.ceil(F.col("n") / DESCRIBED).cast("int")).withColumn("points", points)
+    draw = F.pmod(F.xxhash64("node", "pivot", F.lit("point")), F.lit(1 << 40))
+    drawn = held.select(*keys, "node", "v", "blocks", "points", "n", draw.alias("draw")).where(F.col("draw") < 2 * F.col("points") / F.col("n") * float(1 << 40))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("draw", "node"))  # about twice the points of a list
+    chosen = cut(drawn.withColumn("nth", nth).where("nth <= points").select(*keys, "blocks", "nth", "v"))
+    # columns of its own: both sides of the cogroup come from the same members
+    chosen = chosen.toDF(*chosen.columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def describe_block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame({"label": [], "size": [], "pivot": [], "node": [], "perm2": []})
+        right = right.sort_values("nth")
+        pivots = _units(right["v"])
+        perm = describe(_units(left["v"]), pivots, nearest_of(len(pivots)))
+        return pd.DataFrame({"label": key[0], "size": key[1], "pivot": key[2], "node": left["node"].to_numpy(), "perm2": list(perm)})
+
+    both = dealt.select(*keys, "block", "node", "v").groupBy(*keys, "block").cogroup(chosen.select(*keys, "block", "nth", "v").groupBy(*keys, "block"))
+    return cut(both.applyInPandas(describe_block, "label string, size int, pivot int, node long, perm2 array<int>"))
+
+
 def near_vectors(
     vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
-    nearest: int | None = None, shared: int = SHARED, cell: int = CELL,
+    nearest: int | None = None, shared: int = SHARED, cell: int = CELL, long: int = LONG,
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
@@ -77,8 +124,11 @@ def near_vectors(
     ones (``nearest_of`` their number, if not given) in order and entered in the inverted list of each.  Members of a list that share enough
     reference points are candidates, and each candidate pair is verified in the list of the smallest
     number it shares.  Lists longer than ``cell`` are divided into cells of blocks against blocks, so
-    that none is gathered whole and no candidate is given up.  A cell returns, per vector, the weight it
-    links with and one edge of a spanning forest, never its pairs.
+    that none is gathered whole and no candidate is given up; lists longer than ``long``, which come with
+    tables beyond the largest number of reference points, are described anew by reference points of their
+    own, and their members meet in the sublists of those, so that a vector's copies do not grow with the
+    table.  A cell returns, per vector, the weight it links with and one edge of a spanning forest, never
+    its pairs.
 
     Pairs that share fewer than ``shared`` reference points are missed; tests hold the recall against
     brute force.  Defined cases: a null label, and a null, empty or zero vector, or one with null or
@@ -126,23 +176,46 @@ def near_vectors(
     # the smallest of at least `shared` common numbers is none of a vector's own `shared` - 1 largest
     entries = F.slice(F.array_sort("perm"), 1, F.greatest(F.size("perm") - (shared - 1), F.lit(1)))
     whole = perms.join(reps.select("node", "c", "label", "v"), "node").withColumn("size", F.size("v"))
+    keys = ["label", "size", "pivot"]
     lists = perms.join(reps.select("node", "label", F.size("v").alias("size")), "node").select("label", "size", F.explode(entries).alias("pivot"))
-    long_ones = cut(lists.groupBy("label", "size", "pivot").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("label", "size", "pivot", F.ceil(F.col("n") / cell).cast("int").alias("blocks")))
-    few = long_ones.count() <= BROADCAST_LISTS
-    member = whole.withColumn("pivot", F.explode(entries)).join(F.broadcast(long_ones) if few else long_ones, ["label", "size", "pivot"], "left")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    member = member.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    counted = cut(lists.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > cell))
+    few = counted.count() <= BROADCAST_LISTS
+    none = F.array().cast("array<int>")
+
+    def dealt(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+        """Members of lists in cells of two blocks; a list that ``sizes`` does not name is one cell."""
+        out = rows.join(F.broadcast(sizes) if few else sizes, by, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / cell).cast("int"), F.lit(1)))
+        out = out.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return out.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*keys, "pivot2", "lo", "hi", "block", "node", "c", "v", "perm", "perm2")
+
+    entered = whole.withColumn("pivot", F.explode(entries))
+    long_ones = counted.where(F.col("n") > long)
+    if long_ones.isEmpty():
+        member = dealt(entered.withColumns({"pivot2": F.lit(-1), "perm2": none}), counted, keys)
+    else:
+        long_ones = cut(long_ones)
+        short = entered.join(F.broadcast(long_ones) if few else long_ones, keys, "left_anti")
+        again = _sublists(entered.select(*keys, "node", "v"), long_ones, few, shared)
+        own = F.slice(F.array_sort("perm2"), 1, F.greatest(F.size("perm2") - (shared - 1), F.lit(1)))
+        again = again.withColumn("pivot2", F.explode(own))
+        sizes = cut(again.groupBy(*keys, "pivot2").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+        few = few and sizes.count() <= BROADCAST_LISTS
+        below = again.join(whole.select("node", "c", "v", "perm"), "node")
+        member = dealt(short.withColumns({"pivot2": F.lit(-1), "perm2": none}), counted, keys).unionByName(dealt(below, sizes, [*keys, "pivot2"]))
 
     def verify(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, pivot, lo, hi = key
-        units = np.array(pdf["v"].tolist(), dtype=np.float64)
-        units /= np.abs(units).max(axis=1, keepdims=True)
-        units /= np.linalg.norm(units, axis=1, keepdims=True)
-        perm, block = np.array(pdf["perm"].tolist(), dtype=np.int32), pdf["block"].to_numpy()
-        node, c = pdf["node"].to_numpy(), pdf["c"].to_numpy()
+        _, _, pivot, pivot2, lo, hi = key
+        units, block = _units(pdf["v"]), pdf["block"].to_numpy()
+        perm, node, c = np.array(pdf["perm"].tolist(), dtype=np.int32), pdf["node"].to_numpy(), pdf["c"].to_numpy()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        i, j = links_in_cell(perm, units, pivot, left, right, threshold, shared)
+        if pivot2 < 0:
+            i, j = links_in_cell(perm, units, pivot, left, right, threshold, shared)
+        else:  # a sublist: the pair must also be this list's, by what it shares at large
+            i, j = links_in_cell(np.array(pdf["perm2"].tolist(), dtype=np.int32), units, pivot2, left, right, threshold, shared)
+            if len(i):
+                n, first = _common(perm, i, j)
+                ok = (n >= shared) & (first == pivot)
+                i, j = i[ok], j[ok]
         weight = np.bincount(i, weights=c[j], minlength=len(node))
         if lo != hi:
             weight += np.bincount(j, weights=c[i], minlength=len(node))
@@ -151,7 +224,7 @@ def near_vectors(
         at = np.flatnonzero(weight)
         return pd.DataFrame({"node": node[at], "links": weight[at].astype(np.int64), "root": np.array([root[x] for x in node[at].tolist()], dtype=np.int64)})
 
-    found = cut(member.groupBy("label", "size", "pivot", "lo", "hi").applyInPandas(verify, "node long, links long, root long"))
+    found = cut(member.groupBy(*keys, "pivot2", "lo", "hi").applyInPandas(verify, "node long, links long, root long"))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
     named = reps.select("node", "a", "b", "c", "first").join(groups, "node", "left").join(degree, "node", "left").withColumn("top", F.coalesce("top", "node"))

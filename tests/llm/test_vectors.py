@@ -36,9 +36,16 @@ def test_odd_rows_and_groups(spark):
     rows += [(1000 + i, rows[0][1], 0) for i in range(40)] + [(5, rows[5][1], 2)]
     rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, [float("inf")] + [1.0] * 15, 1), (2004, rows[0][1], None), (2005, [], 1), (2006, [1.0, None], 1), (2007, [1.0, 0.0], 0), (2008, [2.0, 0.0], 0), (None, [3.0, 0.0], 0), (2009, f(np.array(rows[0][1]) * 7), 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, node int").repartition(3)
-    got = near_vectors(df, cell=32).collect()
     key = lambda r: str(r)
-    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=key) == sorted(brute(rows), key=key)
+    want = sorted(brute(rows), key=key)
+    got = near_vectors(df, cell=32).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=key) == want
+    # lists of 40 members described anew by so many reference points: an index's recall, never a false link
+    again = near_vectors(df, cell=32, long=40).collect()
+    links = lambda rs: {(r[0], r[2]): r[1] for r in rs if r[0] is not None and r[0] < 1000 and r[0] != 5}
+    some, all_ = links([(r.vec_id, r.n_links, r.component_id) for r in again]), links(want)
+    assert some.keys() == all_.keys() and all(n <= all_[k] for k, n in some.items())
+    assert sum(some.values()) >= 0.98 * sum(all_.values())
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert near_vectors(df.limit(0)).count() == 0
 
@@ -54,11 +61,13 @@ def test_recall_near_the_threshold(spark):
     cosine = rng.uniform(0.932, 0.95, size=(3000, 1))
     twin = cosine * base + np.sqrt(1 - cosine**2) * away
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([base, twin]).astype(np.float32))]
-    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
-    found = sum(r.n_links > 0 for r in got) / len(got)
-    print("recall", found)
-    assert found >= 0.9
-    assert all(r.component_id == r.vec_id % 3000 for r in got if r.n_links)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    for long in (32_768, 300):  # the second describes all lists anew by reference points of their own
+        got = near_vectors(df, long=long).collect()
+        found = sum(r.n_links > 0 for r in got) / len(got)
+        print("recall", long, found)
+        assert found >= 0.99
+        assert all(r.component_id == r.vec_id % 3000 for r in got if r.n_links)
 
 
 def test_recall_stays_level_as_reference_points_grow():
