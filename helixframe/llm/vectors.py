@@ -22,6 +22,10 @@ PIVOTS = (64, 4096)
 #: points beyond the fewest, so that recall stays level; and how many two vectors must share.
 NEAREST = 8
 SHARED = 2
+#: Reference points are less alike than this, so that a dense group holds one of them and not many at about the
+#: same distance, whose order would tell little; so many candidates are looked at for each.
+SEPARATE = 0.85
+CANDIDATES = 2
 #: Members of an inverted list that are compared at once; longer lists are divided into cells.
 CELL = 1024
 #: Members beyond which a list is described anew by reference points of its own, and members described at once.
@@ -46,6 +50,24 @@ def describe(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) ->
     return np.take_along_axis(top, order, axis=1).astype(np.int32)
 
 
+def separated(points: np.ndarray, most: int) -> np.ndarray:
+    """The first points, at most ``most``, of which each is less like all before it than ``SEPARATE``."""
+    kept = np.empty((min(most, len(points)), points.shape[1]))
+    n = 0
+    for at in range(0, len(points), 256):
+        part = points[at : at + 256]
+        free = (part @ kept[:n].T < SEPARATE).all(axis=1) if n else np.ones(len(part), dtype=bool)
+        like = part @ part.T
+        for k in np.flatnonzero(free):
+            if n == len(kept):
+                return kept
+            if free[k]:
+                kept[n] = part[k]
+                n += 1
+                free &= like[k] < SEPARATE
+    return kept[:n]
+
+
 def links_in_cell(perms: np.ndarray, units: np.ndarray, pivot: int, left: np.ndarray, right: np.ndarray, threshold: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (positions) of ``left`` x ``right`` that share ``shared`` pivots or more, of which ``pivot`` is
     the smallest number, and whose cosine reaches the threshold."""
@@ -93,9 +115,9 @@ def _sublists(members: DataFrame, lists: DataFrame, few: bool, shared: int) -> D
     points = F.least(F.greatest(F.floor(F.col("n") / VECTORS_PER_PIVOT), F.lit(PIVOTS[0])), F.lit(PIVOTS[1]))
     held = members.join(F.broadcast(lists) if few else lists, keys).withColumn("blocks", F.ceil(F.col("n") / DESCRIBED).cast("int")).withColumn("points", points)
     draw = F.pmod(F.xxhash64("node", "pivot", F.lit("point")), F.lit(1 << 40))
-    drawn = held.select(*keys, "node", "v", "blocks", "points", "n", draw.alias("draw")).where(F.col("draw") < 2 * F.col("points") / F.col("n") * float(1 << 40))
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy("draw", "node"))  # about twice the points of a list
-    chosen = cut(drawn.withColumn("nth", nth).where("nth <= points").select(*keys, "blocks", "nth", "v"))
+    drawn = held.select(*keys, "node", "v", "blocks", "points", "n", draw.alias("draw")).where(F.col("draw") < 2 * CANDIDATES * F.col("points") / F.col("n") * float(1 << 40))
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("draw", "node"))  # about twice the candidates of a list
+    chosen = cut(drawn.withColumn("nth", nth).where(F.col("nth") <= CANDIDATES * F.col("points")).select(*keys, "blocks", "points", "nth", "v"))
     # columns of its own: both sides of the cogroup come from the same members
     chosen = chosen.toDF(*chosen.columns).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -104,11 +126,11 @@ def _sublists(members: DataFrame, lists: DataFrame, few: bool, shared: int) -> D
         if left.empty:
             return pd.DataFrame({"label": [], "size": [], "pivot": [], "node": [], "perm2": []})
         right = right.sort_values("nth")
-        pivots = _units(right["v"])
+        pivots = separated(_units(right["v"]), int(right["points"].iloc[0]))
         perm = describe(_units(left["v"]), pivots, nearest_of(len(pivots)))
         return pd.DataFrame({"label": key[0], "size": key[1], "pivot": key[2], "node": left["node"].to_numpy(), "perm2": list(perm)})
 
-    both = dealt.select(*keys, "block", "node", "v").groupBy(*keys, "block").cogroup(chosen.select(*keys, "block", "nth", "v").groupBy(*keys, "block"))
+    both = dealt.select(*keys, "block", "node", "v").groupBy(*keys, "block").cogroup(chosen.select(*keys, "block", "points", "nth", "v").groupBy(*keys, "block"))
     return cut(both.applyInPandas(describe_block, "label string, size int, pivot int, node long, perm2 array<int>"))
 
 
@@ -120,7 +142,7 @@ def near_vectors(
 
     Vectors of one label link if their cosine in double precision reaches ``threshold``.  Equal vectors
     become one representative with a weight.  A bounded number of representatives, those with the
-    smallest hashes, serve as reference points; every representative is described by its ``nearest``
+    smallest hashes that are not too much alike (``separated``), serve as reference points; every representative is described by its ``nearest``
     ones (``nearest_of`` their number, if not given) in order and entered in the inverted list of each.  Members of a list that share enough
     reference points are candidates, and each candidate pair is verified in the list of the smallest
     number it shares.  Lists longer than ``cell`` are divided into cells of blocks against blocks, so
@@ -147,15 +169,16 @@ def near_vectors(
     reps = cut(reps.select(F.monotonically_increasing_id().alias("node"), "*"))
     total = reps.count()
     count = min(max(total // VECTORS_PER_PIVOT, PIVOTS[0]), PIVOTS[1])
-    chosen = [r[0] for r in reps.select("v", "node").orderBy(F.xxhash64("a", "b"), "node").limit(count).collect()]
+    chosen = [r[0] for r in reps.select("v", "node").orderBy(F.xxhash64("a", "b"), "node").limit(CANDIDATES * count).collect()]
     if not chosen:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    nearest = nearest or nearest_of(len(chosen))
     width = max(map(len, chosen))
     pivots = np.zeros((len(chosen), width))
     for k, p in enumerate(chosen):
         pivots[k, : len(p)] = np.array(p) / np.abs(p).max()
         pivots[k] /= np.linalg.norm(pivots[k])
+    pivots = separated(pivots, count)
+    nearest = nearest or nearest_of(len(pivots))
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,7 +194,7 @@ def near_vectors(
             perm = describe(dense, pivots, nearest)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(perm), pa.list_(pa.int32()))], names=["node", "perm"])
 
-    shared = min(shared, len(chosen))
+    shared = min(shared, len(pivots))
     perms = cut(reps.select("node", "v").mapInArrow(permute, "node long, perm array<int>"))
     # the smallest of at least `shared` common numbers is none of a vector's own `shared` - 1 largest
     entries = F.slice(F.array_sort("perm"), 1, F.greatest(F.size("perm") - (shared - 1), F.lit(1)))
@@ -211,7 +234,8 @@ def near_vectors(
         if pivot2 < 0:
             i, j = links_in_cell(perm, units, pivot, left, right, threshold, shared)
         else:  # a sublist: the pair must also be this list's, by what it shares at large
-            i, j = links_in_cell(np.array(pdf["perm2"].tolist(), dtype=np.int32), units, pivot2, left, right, threshold, shared)
+            inner = np.array(pdf["perm2"].tolist(), dtype=np.int32)
+            i, j = links_in_cell(inner, units, pivot2, left, right, threshold, min(shared, inner.shape[1]))
             if len(i):
                 n, first = _common(perm, i, j)
                 ok = (n >= shared) & (first == pivot)

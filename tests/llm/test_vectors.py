@@ -85,3 +85,20 @@ def test_recall_stays_level_as_reference_points_grow():
         recall = ((a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= vectors.SHARED).mean()
         print("recall", n, k, recall)
         assert recall >= 0.999, n
+
+
+def test_recall_in_a_dense_group(spark):
+    """A third of all vectors lie about the threshold apart from each other, so most reference points drawn would be theirs."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    group = centre / np.linalg.norm(centre) + rng.normal(size=(1200, 64)) * 0.26 / 8
+    all_ = np.concatenate([group, rng.normal(size=(2400, 64))]).astype(np.float32)
+    unit = all_.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(all_)], "vec_id long, embedding array<float>, label int").repartition(4)
+    for long in (32_768, 500):
+        got = {r.vec_id: r.n_links for r in near_vectors(df, long=long).collect()}
+        have = np.array([got[i] for i in range(len(all_))])
+        print("recall", long, have.sum() / want.sum(), want.sum())
+        assert (have <= want).all() and have.sum() >= 0.97 * want.sum()
