@@ -23,8 +23,9 @@ SAMPLE = 12_000
 FEATURES = 1024
 FOLDS = 5
 THRESHOLD = 0.5
-#: Words whose features a worker remembers.
-REMEMBERED = 300_000
+#: Words whose features a worker remembers, and documents whose features it holds at once.
+REMEMBERED = 200_000
+AT_ONCE = 1000
 
 WORD = re.compile(r"[^\W\d_]+")
 CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -265,7 +266,8 @@ def scorer(model: Chain):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memory: dict = {}
         for s in batches:
-            yield pd.DataFrame(model.score(s.tolist(), memory), columns=model.categories)
+            parts = [model.score(s.iloc[at : at + AT_ONCE].tolist(), memory) for at in range(0, len(s), AT_ONCE)]
+            yield pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, len(model.categories))), columns=model.categories)
 
     return score
 
