@@ -46,10 +46,32 @@ def scan(df: DataFrame, order: list[str], value: Column, name: str, exclusive: b
     return _scanned(with_ranges(df, order), order, value, name, exclusive).drop("__range")
 
 
+def segmented_scans(df: DataFrame, segment: list[str], order: list[str], values: dict[str, Column], exclusive: bool = False) -> DataFrame:
+    """Running sums within each segment, one column for each of ``values``.
+
+    Segments are parts of one order that is divided into ranges, so a segment of any length is scanned by as
+    many tasks as it asks for.  Only the first segment of a range can have begun before it; what it brings
+    along is one row per range.
+    """
+    held = df.withColumns({f"__v_{n}": v for n, v in values.items()})
+    ranged = with_ranges(held, [*segment, *order])
+    inner = W.partitionBy("__range", *segment).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
+    out = ranged.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)) for n in values})
+    sums = ranged.groupBy("__range", *segment).agg(*(F.sum(f"__v_{n}").alias(f"__s_{n}") for n in values))
+    earlier = W.partitionBy(*segment).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumns({f"__s_{n}": F.sum(f"__s_{n}").over(earlier) for n in values})
+    brought = sums.where(F.coalesce(*(F.col(f"__s_{n}") for n in values)).isNotNull())
+    brought = brought.select(F.col("__range").alias("__r"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(segment)), *(f"__s_{n}" for n in values))
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(segment):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = out.join(F.broadcast(brought), same, "left").withColumns({n: F.col(n) + F.coalesce(f"__s_{n}", F.lit(0)) for n in values})
+    return out.drop("__range", "__r", *(f"__k{i}" for i in range(len(segment))), *(f"__v_{n}" for n in values), *(f"__s_{n}" for n in values))
+
+
 def segmented_scan(df: DataFrame, segment: list[str], order: list[str], value: Column, name: str, exclusive: bool = False) -> DataFrame:
-    w = W.partitionBy(*segment).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
-    total = F.sum(value).over(w)
-    return df.withColumn(name, F.coalesce(total, F.lit(0)) if exclusive else total)
+    """``segmented_scans`` of one value."""
+    return segmented_scans(df, segment, order, {name: value}, exclusive)
 
 
 def _preceded(ranged: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
@@ -191,22 +213,22 @@ def bloom_build(df: DataFrame, key: Column, bits: int, hashes: int = 3) -> DataF
 def bloom_has(df: DataFrame, filter_words: DataFrame, key: Column, bits: int, hashes: int = 3) -> DataFrame:
     """Rows of ``df`` whose key may be in the filter.
 
-    The filter is one binary value of ``bits / 8`` bytes (16 MB at most), so it goes along with every row's
-    task as a one-row broadcast; a bit is tested by its byte.
+    The filter is one binary value of ``bits / 8`` bytes (16 MB at most), so it is a one-row broadcast that
+    joins every row; a bit is tested by its byte.
     """
     if bits > FILTER_BITS[1]:
         raise ValueError("filter too large to send")
     full = filter_words.sparkSession.range(bits // 64).join(filter_words, F.col("id") == F.col("word"), "left")
     text = F.hex(F.coalesce("mask", F.lit(0).cast("long")))
-    packed = full.agg(F.array_sort(F.collect_list(F.struct("id", F.lpad(text, 16, "0").alias("w")))).alias("a")).select(F.unhex(F.array_join(F.transform("a", lambda x: x["w"]), "")).alias("filter"))
-    data = packed.first()[0]  # bounded by FILTER_BITS
+    packed = full.groupBy(F.lit(1).alias("__one")).agg(F.array_sort(F.collect_list(F.struct("id", F.lpad(text, 16, "0").alias("w")))).alias("a")).select("__one", F.unhex(F.array_join(F.transform("a", lambda x: x["w"]), "")).alias("__filter"))
 
     def test(p: Column) -> Column:
         byte = F.shiftright(p, 6) * 8 + 7 - F.shiftright(p.bitwiseAND(63), 3)
-        value = F.conv(F.hex(F.substring(F.lit(bytearray(data)), byte.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        value = F.conv(F.hex(F.substring("__filter", byte.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         return F.getbit(value, p.bitwiseAND(7).cast("int")) == 1
 
-    return df.where(F.forall(bloom_positions(key, hashes, bits), test))
+    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(packed), "__one")
+    return joined.where(F.forall(bloom_positions(key, hashes, bits), test)).drop("__one", "__filter")
 
 
 def semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .primitives import scan
+from .primitives import scan, segmented_scan, segmented_scans
 from .storage import cut
 
 #: Symbols of a suffix that are compared as text; beyond them ranks are doubled.
@@ -62,7 +62,7 @@ def suffix_array(strings: DataFrame, id_col: str = "string_id", seq_col: str = "
 def string_suffix_array(strings: DataFrame, id_col: str = "string_id", seq_col: str = "seq") -> DataFrame:
     """The suffix array of each string by itself: ``sa_rank`` counts from 0, the empty suffix, per string."""
     sa = suffix_array(strings, id_col, seq_col)
-    return sa.withColumn("sa_rank", (F.row_number().over(W.partitionBy(id_col).orderBy("sa_rank")) - 1).cast("long"))
+    return segmented_scan(sa, [id_col], ["sa_rank"], F.lit(1), "__n", exclusive=True).drop("sa_rank").withColumnRenamed("__n", "sa_rank").select(*sa.columns)
 
 
 def bwt(sa: DataFrame, id_col: str = "string_id") -> DataFrame:
@@ -79,15 +79,13 @@ def set_bwt(sa: DataFrame, id_col: str = "string_id") -> DataFrame:
 
 def occurrences(sa: DataFrame, every: int, keys: list[str], row: str = "sa_rank") -> DataFrame:
     """``keys, block, a, c, g, t``: how often each symbol occurs before row ``block * every``."""
-    per = sa.groupBy(*keys, F.floor(F.col(row) / every).alias("block")).agg(*(F.sum(F.when(F.col("prev") == x, 1).otherwise(0)).alias(x.lower()) for x in "ACGT"))
-    w = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return per.select(*keys, "block", *(F.coalesce(F.sum(x).over(w), F.lit(0)).alias(x) for x in "acgt"))
+    per = sa.groupBy(*keys, F.floor(F.col(row) / every).alias("block")).agg(*(F.sum(F.when(F.col("prev") == x, 1).otherwise(0)).alias(f"n_{x}") for x in "ACGT"))
+    return segmented_scans(per, keys, ["block"], {x: F.col(f"n_{x.upper()}") for x in "acgt"}, exclusive=True).select(*keys, "block", *"acgt")
 
 
 def rank_all(sa: DataFrame, keys: list[str], row: str = "sa_rank") -> DataFrame:
     """``rank_a .. rank_t``: occurrences of each symbol in rows up to and including this one."""
-    w = W.partitionBy(*keys).orderBy(row).rowsBetween(W.unboundedPreceding, 0)
-    return sa.select("*", *(F.sum(F.when(F.col("prev") == x, 1).otherwise(0)).over(w).alias(f"rank_{x.lower()}") for x in "ACGT"))
+    return segmented_scans(sa, keys, [row], {f"rank_{x.lower()}": F.when(F.col("prev") == x, 1).otherwise(0) for x in "ACGT"})
 
 
 def lf(sa: DataFrame, keys: list[str]) -> DataFrame:

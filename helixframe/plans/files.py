@@ -53,6 +53,16 @@ def read_file(spark, d):
     return rows.select("name", "strand", "seq", "qual", total.alias("phred"))
 
 
+def read_encoded(spark, d):
+    """Qualities of older encodings, read as the usual one."""
+    rows, made = _reads(spark, d), []
+    for k, encoding in enumerate(("phred64", "solexa")):
+        path = scratch(spark, "reads.fastq")
+        K.write_fastq(rows.withColumn("qual", F.translate("seq", "ACGT", "hTBe")), path)
+        made.append(R.reads(spark, path, encoding=encoding).select("name", F.lit(encoding).alias("encoding"), "qual"))
+    return made[0].unionByName(made[1])
+
+
 def quality_codes(spark, d):
     """Sums of Phred values by encoding, and of the rounded costs."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, q: a + q)
@@ -157,11 +167,13 @@ def index_file(spark, d):
 
 
 def index_served(spark, d):
-    """An index as views of the session: references with offsets, and their suffixes' number."""
+    """An index as views of the application: references with offsets, and their suffixes' number."""
     path = scratch(spark, "index")
     I.build_index(items(spark, d).withColumnRenamed("item_id", "ref_id"), path)
     I.serve_index(spark, path, "served")
-    return spark.sql("SELECT g.ref_id, g.offset, g.length, count(*) AS suffixes FROM served_genome g JOIN served_sa s ON g.ref_id = s.ref_id GROUP BY ALL")
+    other = spark.newSession()  # as another client of the application sees it
+    rows = other.sql("SELECT g.ref_id, g.offset, g.length, count(*) AS suffixes FROM global_temp.served_genome g JOIN global_temp.served_sa s ON g.ref_id = s.ref_id GROUP BY ALL")
+    return spark.createDataFrame(rows.collect(), rows.schema)  # a row for each reference
 
 
 def scoring_file(spark, d):
@@ -210,6 +222,7 @@ QUERIES = {
     "fastq_file": (fastq_file, f"WITH {READS} SELECT name, seq, qual FROM reads"),
     "fastq_gzip": (fastq_gzip, f"WITH {READS} SELECT length(seq) AS length, count(*) AS n, min(name) AS first FROM reads GROUP BY 1"),
     "read_file": (read_file, f"WITH {READS}, c AS (SELECT name, left(seq, 50) AS seq, left(qual, 50) AS qual FROM reads), b AS (SELECT name, 'forward' AS strand, seq, qual FROM c UNION ALL SELECT name, 'reverse_complement', reverse(translate(seq, 'ACGT', 'TGCA')), reverse(qual) FROM c) SELECT name, strand, seq, qual, {_SUM('ascii(c) - 33')} AS phred FROM b"),
+    "read_encoded": (read_encoded, f"WITH {READS} SELECT name, 'phred64' AS encoding, translate(seq, 'ACGT', '{''.join(chr(ord(c) - 31) for c in 'hTBe')}') AS qual FROM reads UNION ALL SELECT name, 'solexa', translate(seq, 'ACGT', '{''.join(chr(min(S.solexa_step(ord(c)), 93) + 33) for c in 'hTBe')}') FROM reads"),
     "quality_codes": (quality_codes, f"WITH {READS} SELECT name, {_SUM('ascii(c)')} AS phred, {_SUM('ascii(c) - 33')} AS phred33, {_SUM('ascii(c) - 64')} AS phred64, {_SUM(_BY(S.solexa_step))} AS solexa, {_SUM(_BY(lambda c: 0 if c - 33 < 5 else 10 if c - 33 < 15 else 20 if c - 33 < 25 else 30))} AS cost FROM reads"),
     "fasta_file": (fasta_file, f"WITH {ITEMS} SELECT 'item' || item_id AS name, seq FROM ref WHERE seq <> ''"),
     "fasta_unknown": (fasta_unknown, """WITH s AS (SELECT 'doc' || doc_id AS name, upper(regexp_replace(coalesce(text, ''), '[^ACGTNacgtn]', '', 'g')) AS seq FROM documents),

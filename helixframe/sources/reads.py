@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -289,9 +289,19 @@ def bam_alignments(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- by name
 
 
-def reads(spark: SparkSession, path: str, strands: tuple[str, ...] = ("forward",), max_len: int | None = None, max_reads: int | None = None) -> DataFrame:
+def usual_quality(qual: Column, encoding: str) -> Column:
+    """A quality string of an encoding (phred33, phred64, solexa, phred) in the usual one, Phred+33."""
+    if encoding == "phred33":
+        return qual
+    value = {"phred": lambda c: c, "phred64": lambda c: max(c - 64, 0), "solexa": S.solexa_step}[encoding]
+    codes = range(33, 127) if encoding != "phred" else range(1, 94)
+    return F.translate(qual, "".join(map(chr, codes)), "".join(chr(min(value(c), 93) + 33) for c in codes))
+
+
+def reads(spark: SparkSession, path: str, strands: tuple[str, ...] = ("forward",), max_len: int | None = None, max_reads: int | None = None, encoding: str = "phred33") -> DataFrame:
     """``name, seq, qual, strand`` of a file by its name's ending: fastq, fq, fasta, fa, txt, sam, bam, and
-    .gz of the text forms.  One row per strand asked for; the quality turns with its read."""
+    .gz of the text forms.  One row per strand asked for; the quality turns with its read, and becomes
+    Phred+33 from the file's ``encoding``."""
     plain = path.lower().removesuffix(".gz")
     end = plain.rsplit(".", 1)[-1]
     if end in ("fastq", "fq"):
@@ -306,6 +316,7 @@ def reads(spark: SparkSession, path: str, strands: tuple[str, ...] = ("forward",
         df = reads_of(bam_alignments(spark, path))
     else:
         raise ValueError(f"unknown kind of read file: {path}")
+    df = df.withColumn("qual", usual_quality(F.col("qual"), encoding))
     if max_reads is not None:
         df = df.limit(max_reads)
     if max_len is not None:

@@ -146,7 +146,8 @@ def test_orders_of_many_ranges(spark, monkeypatch):
         runs = sorted(map(tuple, P.runlength_encode(df, ["a", "b"], "k").collect()))
         low = sorted(map(tuple, P.bounds(df, df.select((F.col("v") * 3).alias("x")), "v", "x").collect()))
         at = sorted(map(tuple, H.to_reference(places, refs).collect()))
-        return scans, runs, low, at
+        inner = [sorted(map(tuple, P.segmented_scan(df, ["k"], ["a", "b"], F.col("v"), "s", exclusive=e).collect())) for e in (False, True)]
+        return scans, runs, low, at, inner
 
     one = all_of()
     monkeypatch.setattr(P, "ROWS_PER_RANGE", 64)
