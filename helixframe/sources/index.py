@@ -40,13 +40,15 @@ def load_index(spark: SparkSession, path: str, parts: tuple[str, ...] = ("genome
 
 def serve_index(spark: SparkSession, path: str, name: str, parts: tuple[str, ...] = ("genome", "sa")) -> None:
     """Makes the tables views ``global_temp.<name>_<part>``, shared by all sessions of the application and kept
-    in memory where they fit."""
+    in memory where they fit; this session also has them as ``<name>_<part>``."""
     for p, df in load_index(spark, path, parts).items():
         df.createOrReplaceGlobalTempView(f"{name}_{p}")
         spark.catalog.cacheTable(f"global_temp.{name}_{p}")
+        spark.table(f"global_temp.{name}_{p}").createOrReplaceTempView(f"{name}_{p}")
 
 
 def stop_serving(spark: SparkSession, name: str, parts: tuple[str, ...] = ("genome", "sa")) -> None:
     for p in parts:
+        spark.catalog.dropTempView(f"{name}_{p}")
         spark.catalog.uncacheTable(f"global_temp.{name}_{p}")
         spark.catalog.dropGlobalTempView(f"{name}_{p}")
