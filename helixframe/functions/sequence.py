@@ -91,6 +91,8 @@ def snap(diagonal: Column, interval: int) -> Column:
     return (F.ceil(diagonal / float(interval) - 0.5) * interval).cast("long")
 
 
+# The table that this rule gives must equal the one that Solexa qualities are commonly read by, so
+# its offset of ten, its bend below twenty and its last value are not free.
 def solexa_step(q: int) -> int:
     """The Phred value of a Solexa quality number of the same table position: the log-odds scale's
     first fifteen steps bend, later ones are offset by ten."""
