@@ -155,8 +155,8 @@ def near_vectors(
     Pairs that share fewer than ``shared`` reference points are missed; tests hold the recall against
     brute force.  Defined cases: a null label, and a null, empty or zero vector, or one with null or
     non-finite components, links with nothing; vectors of different lengths do not link; repeated rows
-    link with each other; a null id never names a component that has another; an empty table gives an
-    empty result; other columns are ignored.
+    link with each other; a null id never names a component that has another; of equally near reference
+    points any is taken; an empty table gives an empty result; other columns are ignored.
     """
     v = F.col("v")
     fine = v.isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
